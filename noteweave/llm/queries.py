@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import canon, neardup, overlap
+from noteweave.llm import canon, neardup, overlap, pii
 
 #: Notes are compared by three words, at one half: see TESTDATA.md, problem 1.
 WORDS, LEAST = 3, 0.5
@@ -29,6 +29,15 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return groups.withColumnRenamed("id", "sample_no")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    spans = pii.find_personal_data(_table(spark, sf, "calibration"), "text", "file_id")
+    return spans.select(F.col("key").alias("file_id"), "pii_kind", "start_pos", "end_pos").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact_personal_data(_table(spark, sf, "calibration").select("sample_no", "text"), "text").drop("text")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     notes = canon.find_variants(_table(spark, sf, "calibration"), "text", "file_id").distinct()
     aliases = canon.find_variants(_table(spark, sf, "symptoms_vi"), "alias", "alias_id").select(F.col("row_key").cast("string"))
@@ -55,7 +64,7 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_canonical, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p5_found, p5_canonical, p6_found, p6_report)}
 
 
 def oracle_sql() -> dict[str, str]:
