@@ -5,10 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noteweave.operators import units
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _drugs(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "parsed_drug").select("mention_id", "source", "raw", "strength_value", "strength_unit", "recorded_at")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    done = units.common_units(_drugs(spark, sf), _table(spark, sf, "source_units"), "raw", "strength_value", "strength_unit", "source", "recorded_at")
+    already = F.coalesce((F.col("strength_unit") == F.col("common_unit")) & (F.abs(F.col("strength_value") - F.col("amount")) < 1e-9 * (1 + F.col("amount"))), F.lit(False))
+    return done.filter(F.col("amount").isNotNull() & ~already).select("mention_id", "common_unit", F.round(F.col("amount") * 1000).cast("long").alias("amount_milli"))
+
+
+def p4_unit_shifts(spark: SparkSession, sf: str) -> DataFrame:
+    read = units.read_quantities(_drugs(spark, sf), _table(spark, sf, "source_units"), "raw", "strength_value", "strength_unit", "source")
+    history = read.filter("q_bare and q_factor is not null").select("source", F.to_date("recorded_at").alias("day"), F.col("q_number").alias("value"))
+    days = units.unit_shifts(units.cut_lineage(history))
+    return days.groupBy("source", "segment", "shift").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p4_found, p4_unit_shifts)}
 
 
 def oracle_sql() -> dict[str, str]:
