@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import canon, neardup, overlap, pii
+from noteweave.llm import canon, linking, neardup, overlap, pii
 
 #: Notes are compared by three words, at one half: see TESTDATA.md, problem 1.
 WORDS, LEAST = 3, 0.5
@@ -38,6 +38,36 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact_personal_data(_table(spark, sf, "calibration").select("sample_no", "text"), "text").drop("text")
 
 
+def _empty(c: str, of: DataFrame):  # noqa: ANN202
+    array = of.schema[c].dataType.typeName() == "array"
+    return F.coalesce(F.size(c), F.lit(0)) <= 0 if array else F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def _typed_values(spark: SparkSession, sf: str) -> DataFrame:
+    """(src_table, row_id, kind, text): every value without a code."""
+    gold, drugs, diagnoses = (_table(spark, sf, t) for t in ("gold", "drug_aliases", "diagnosis_aliases"))
+    kind = F.when(F.col("entity_type") == "THUỐC", "drug").when(F.col("entity_type") == "CHẨN_ĐOÁN", "diagnosis")
+    parts = [
+        gold.filter(F.col("entity_type").isin("THUỐC", "CHẨN_ĐOÁN") & _empty("candidates", gold)).select(F.lit("gold").alias("src_table"), F.col("record_id").alias("row_id"), kind.alias("kind"), "text"),
+        drugs.filter(_empty("rxcui_hint", drugs)).select(F.lit("drug_aliases").alias("src_table"), F.col("alias_id").alias("row_id"), F.lit("drug").alias("kind"), F.col("alias").alias("text")),
+        diagnoses.filter(_empty("code_hint", diagnoses)).select(F.lit("diagnosis_aliases").alias("src_table"), F.col("alias_id").alias("row_id"), F.lit("diagnosis").alias("kind"), F.col("canonical_hint").alias("text")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _typed_values(spark, sf)
+    drugs = linking.link(rows.filter("kind = 'drug'"), "text", "drug", _table(spark, sf, "rx_reference"))
+    diagnoses = linking.link(rows.filter("kind = 'diagnosis'"), "text", "diagnosis", _table(spark, sf, "icd_reference"))
+    return drugs.unionByName(diagnoses).select("src_table", "row_id", F.coalesce("code", F.lit("NONE")).alias("code"))
+
+
+def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values of each table mean no entry."""
+    found = p3_found(spark, sf)
+    return found.groupBy("src_table").agg(F.count("*").alias("n_values"), F.count_if(F.col("code") == "NONE").alias("n_unmatched"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     notes = canon.find_variants(_table(spark, sf, "calibration"), "text", "file_id").distinct()
     aliases = canon.find_variants(_table(spark, sf, "symptoms_vi"), "alias", "alias_id").select(F.col("row_key").cast("string"))
@@ -64,7 +94,7 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p5_found, p5_canonical, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_unmatched, p5_found, p5_canonical, p6_found, p6_report)}
 
 
 def oracle_sql() -> dict[str, str]:
