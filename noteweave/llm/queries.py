@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import canon, linking, neardup, overlap, pii
+from noteweave.llm import canon, linking, mixing, neardup, overlap, packing, pii, tokens, toxicity
+from noteweave.session import cut_lineage
 
 #: Notes are compared by three words, at one half: see TESTDATA.md, problem 1.
 WORDS, LEAST = 3, 0.5
@@ -93,8 +94,66 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, sf))
 
 
+def _packed(spark: SparkSession, sf: str) -> list[tuple[str, int, DataFrame]]:
+    sizes = cut_lineage(tokens.count_tokens(_table(spark, sf, "documents"), "text", ["doc_id"]))
+    packs = _table(spark, sf, "pack_sizes").orderBy("capacity_tokens").collect()  # a fixed table of 3 rows
+    return [(p["pack_name"], p["capacity_tokens"], packing.pack(sizes, "doc_id", p["capacity_tokens"])) for p in packs]
+
+
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for name, _, packed in _packed(spark, sf):
+        one = packed.select(F.lit(name).alias("pack_name"), "container", "doc_id", "piece", "place", "n_tokens")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for name, capacity, packed in _packed(spark, sf):
+        one = packing.packing_report(packed, capacity).withColumn("pack_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf, "documents").withColumn("weight", mixing.quality(F.col("text")))
+    sizes = cut_lineage(tokens.count_tokens(docs, "text", ["doc_id", "source", "weight"]))
+    targets = _table(spark, sf, "mix_targets")
+    return mixing.mix(sizes, targets, "doc_id"), targets
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0].select("doc_id", "source", "n_tokens", "uses")
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(*_mixed(spark, sf))
+
+
+def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
+    docs = _table(spark, sf, "documents").select("doc_id", "source", "text")
+    found = toxicity.fit(docs, "text", "doc_id", _table(spark, sf, "toxic_labels"))
+    return toxicity.score(docs, "text", ["doc_id", "source"], found.weights), found.threshold
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    scored, threshold = _scored(spark, sf)
+    return scored.filter(F.col("score") >= threshold).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf)[0].select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    scored, threshold = _scored(spark, sf)
+    flag = F.col("score") >= threshold
+    return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(flag).alias("n_flagged"), F.round(F.avg(flag.cast("int")), 6).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_unmatched, p5_found, p5_canonical, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_unmatched, p5_found, p5_canonical, p6_found, p6_report, p7_packing, p7_report, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
