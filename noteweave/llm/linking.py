@@ -27,6 +27,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteweave.session import cut_lineage
+
 BROADCAST_ROWS = 50_000
 EDITS = {"diagnosis": 2, "drug": 3}
 
@@ -138,6 +140,7 @@ def nearest_entries(values: DataFrame, keys: DataFrame, edits: int = 2) -> DataF
     usable = values.filter("key is not null and key != ''")
     agree = (F.col("v.modifier") == "") | (F.col("r.modifier") == "") | (F.col("v.modifier") == F.col("r.modifier"))
     exact = usable.alias("v").join(_small(keys, rows).alias("r"), (F.col("v.key") == F.col("r.key"))).select("v.value", "r.code", F.lit(0).alias("distance"))
+    exact = cut_lineage(exact)
     rest = usable.join(exact.select("value").distinct(), "value", "left_anti")
 
     n = F.length("key")
@@ -180,6 +183,7 @@ def link(rows: DataFrame, text: str, kind: str, reference: DataFrame, edits: int
         marks = [_plain(m) for m in MODIFIERS]
         cleaned = folded.withColumn("key", apply_rules(F.col("_f"), rules))
         keyed = cleaned.select("value", "key", F.regexp_extract("key", "|".join(sorted(marks, key=len, reverse=True)), 0).alias("modifier"), F.lit("").alias("stem"))
+    keyed = cut_lineage(keyed)  # read five times below
     matched = nearest_entries(keyed, keys, edits or EDITS[kind]).select("value", "code")
     if kind == "drug":
         open_ = keyed.join(matched, "value", "left_anti")
