@@ -140,7 +140,6 @@ def nearest_entries(values: DataFrame, keys: DataFrame, edits: int = 2) -> DataF
     usable = values.filter("key is not null and key != ''")
     agree = (F.col("v.modifier") == "") | (F.col("r.modifier") == "") | (F.col("v.modifier") == F.col("r.modifier"))
     exact = usable.alias("v").join(_small(keys, rows).alias("r"), (F.col("v.key") == F.col("r.key"))).select("v.value", "r.code", F.lit(0).alias("distance"))
-    exact = cut_lineage(exact)
     rest = usable.join(exact.select("value").distinct(), "value", "left_anti")
 
     n = F.length("key")
