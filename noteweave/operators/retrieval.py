@@ -45,9 +45,10 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int, k1: float = 1.5,
     """
     stats = documents.select("id", "len").distinct().agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     df = documents.groupBy("term").agg(F.count("*").alias("df"))
-    p = documents.join(df, "term").crossJoin(F.broadcast(stats))  # stats: one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    p = documents.join(df, "term")
+    n_docs, avg_len = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
     weighted = p.select("term", F.col("id").alias("code"), part.alias("part"))
     q = queries.select(F.col("id").alias("query_id"), "term").distinct()
     return _top(q.join(weighted, "term").groupBy("query_id", "code").agg(F.round(F.sum("part"), 6).alias("score")), k)
@@ -55,9 +56,9 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int, k1: float = 1.5,
 
 def tfidf_top(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """(query_id, code, score, rank) by cosine of smooth-idf weighted, length-normalised vectors."""
-    n = documents.select("id").distinct().agg(F.count("*").alias("n_docs"))
+    n = documents.select("id").distinct().agg(F.count("*").alias("n_docs")).scalar()
     df = documents.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # n: one row
+    idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
     def vectors(p: DataFrame) -> DataFrame:
         v = p.join(idf, "term").withColumn("v", F.col("tf") * F.col("idf"))

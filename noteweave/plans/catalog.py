@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteweave.functions import text as tx
+from noteweave.functions.wer import wer
 from noteweave.operators import audit, docs, extract, retrieval, spans, units
+from noteweave.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -443,6 +445,51 @@ def noise_augment(spark: SparkSession, sf: str) -> DataFrame:
     return audit.noisy(_table(spark, sf, "symptoms_vi"), "alias_id", "canonical")
 
 
+# --- scores, parsing, proposals ----------------------------------------------------------------------------------------
+
+
+@query()
+def wer_score(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "symptoms_vi")
+    return d.select("alias_id", F.round(wer(F.col("canonical"), F.col("alias")), 6).alias("wer"))
+
+
+@query(f"SELECT alias_id, round(CASE WHEN len(list_distinct(list_concat(u, v))) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(u), list_distinct(v))) / len(list_distinct(list_concat(u, v)))::DOUBLE END, 6)::DOUBLE AS jaccard FROM (SELECT alias_id, coalesce({_WORDS.format('alias')}, []) AS u, coalesce({_WORDS.format('canonical')}, []) AS v FROM symptoms_vi)")
+def jaccard_score(spark: SparkSession, sf: str) -> DataFrame:
+    w = lambda c: tx.words(tx.fold(F.lower(c)))
+    return _table(spark, sf, "symptoms_vi").select("alias_id", F.round(tx.jaccard(w("alias"), w("canonical")), 6).alias("jaccard"))
+
+
+_STRENGTH = r"(\d+(?:[.,]\d+)?) ?(mg/ml|mcg/ml|mg|mcg|ml|g|%)(?:[^a-z]|$)"
+_ROUTE = r"(tiem bap|truyen tinh mach|boi ngoai|ngam duoi luoi|uong)(?:[^a-z]|$)"
+_SCHEDULE = r"(ngay \d+ lan|sang \d+ chieu \d+|moi toi|cach ngay|q\d+h|bid|tid|qd|qhs|prn)(?:[^a-z]|$)"
+
+
+@query(f"SELECT mention_id, coalesce(regexp_extract(t, '{_STRENGTH}', 1), '') AS strength, coalesce(regexp_extract(t, '{_STRENGTH}', 2), '') AS unit, coalesce(regexp_extract(t, '{_ROUTE}', 1), '') AS route, coalesce(regexp_extract(t, '{_SCHEDULE}', 1), '') AS schedule, coalesce(regexp_matches(t, '[a-z] ?[/+] ?[a-z]'), false) AS combination FROM (SELECT mention_id, {FOLD.format('lower(raw)')} AS t FROM parsed_drug)")
+def drug_parse(spark: SparkSession, sf: str) -> DataFrame:
+    t = tx.fold(F.lower("raw"))
+    part = lambda p, i: F.coalesce(F.regexp_extract(t, p, i), F.lit(""))
+    return _table(spark, sf, "parsed_drug").select("mention_id", part(_STRENGTH, 1).alias("strength"), part(_STRENGTH, 2).alias("unit"), part(_ROUTE, 1).alias("route"), part(_SCHEDULE, 1).alias("schedule"), F.coalesce(t.rlike("[a-z] ?[/+] ?[a-z]"), F.lit(False)).alias("combination"))
+
+
+@query("SELECT p.mention_id, r.rxcui, p.strength_value, p.strength_unit FROM parsed_drug p JOIN rx_reference r ON lower(p.normalized_name) = lower(r.name) WHERE p.strength_value IS NOT NULL")
+def ingredient_strength_join(spark: SparkSession, sf: str) -> DataFrame:
+    p, r = _table(spark, sf, "parsed_drug").filter("strength_value is not null"), _table(spark, sf, "rx_reference")
+    return p.join(r, F.lower("normalized_name") == F.lower("name")).select("mention_id", "rxcui", "strength_value", "strength_unit")
+
+
+@query(PRED_SQL + ", pr AS (SELECT id, start_pos, end_pos, entity_type, 'dictionary' AS pass FROM found UNION ALL SELECT id, start_pos, end_pos, entity_type, 'reviewer' FROM gold_spans) SELECT id, start_pos, end_pos, entity_type, string_agg(DISTINCT pass, '|' ORDER BY pass) AS passes, CAST(count(DISTINCT pass) AS BIGINT) AS agreement FROM pr GROUP BY 1, 2, 3, 4")
+def proposal_merge(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["id", "start_pos", "end_pos", "entity_type"]
+    both = _found(spark, sf).select(*columns, F.lit("dictionary").alias("pass")).unionByName(_gold(spark, sf).select(*columns, F.lit("reviewer").alias("pass")))
+    return both.groupBy(*columns).agg(F.array_join(F.array_sort(F.collect_set("pass")), "|").alias("passes"), F.count_distinct("pass").alias("agreement"))
+
+
+@query()
+def record_json(spark: SparkSession, sf: str) -> DataFrame:
+    return files.format_records(_gold(spark, sf).withColumns({"assertions": F.lit(None).cast("array<string>"), "candidates": F.lit(None).cast("array<string>")}))
+
+
 # --- quantities ------------------------------------------------------------------------------------------------------
 
 

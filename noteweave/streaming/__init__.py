@@ -1 +1 @@
-
+"""Nothing here yet: the operators are batch transformations, and none of the inventory's is a stream."""
