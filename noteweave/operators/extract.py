@@ -28,17 +28,20 @@ def phrase_table(phrases: DataFrame, phrase: str, entity_type: str, longest: int
 def dictionary_spans(tok: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
     """(id, start_pos, end_pos, entity_type, canonical, n): every occurrence, overlapping ones too, of every phrase.
 
-    Word runs are built by a window over each text's tokens and joined by
-    equality; runs of different lengths share one sort of the tokens.
+    Word runs are built by looking ahead over each text's tokens, in one sort, and
+    joined by equality.
     """
     w = W.partitionBy("id").orderBy("pos")
-    d = tok
-    for n in lengths:
-        run = F.array_join(F.collect_list("key").over(w.rowsBetween(0, n - 1)), " ")
-        d = d.withColumn(f"_k{n}", run).withColumn(f"_e{n}", F.last("end_pos").over(w.rowsBetween(0, n - 1)))
-    runs = F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"_k{n}").alias("key"), F.col(f"_e{n}").alias("end_pos")) for n in lengths))
-    every = d.select("id", "start_pos", F.explode(runs).alias("r")).select("id", "start_pos", "r.end_pos", "r.n", "r.key")
-    found = every.filter(F.size(F.split("key", " ")) == F.col("n")).join(table, ["key", "n"])
+    longest = max(lengths)
+    ahead = [F.lead(c, i).over(w).alias(f"_{c}{i}") for i in range(longest) for c in ("key", "end_pos")]
+    d = tok.select("id", "start_pos", *ahead)
+
+    def run(n: int) -> Column:
+        key = F.concat_ws(" ", *(F.col(f"_key{i}") for i in range(n)))
+        return F.struct(F.lit(n).alias("n"), F.when(F.col(f"_key{n - 1}").isNotNull(), key).alias("key"), F.col(f"_end_pos{n - 1}").alias("end_pos"))
+
+    every = d.select("id", "start_pos", F.explode(F.array(*map(run, lengths))).alias("r")).select("id", "start_pos", "r.end_pos", "r.n", "r.key")
+    found = every.filter("key is not null").join(table, ["key", "n"])
     return found.select("id", "start_pos", "end_pos", "entity_type", "canonical", "n")
 
 
