@@ -81,6 +81,47 @@ def test_split_overlaps_equal_brute_force(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_overlaps_of_crowded_segments(spark):
+    rng = random.Random(7)
+    texts, copies = [], []
+    for _ in range(3):  # copied into many tasks; the partner differs in every 16th word
+        base = [rng.choice(WORDS) for _ in range(64)]
+        copies += [" ".join(base)] * 40
+        texts.append(" ".join("edited" if i % 16 == 15 else w for i, w in enumerate(base)))
+    stock = [rng.choice(WORDS) for _ in range(15)]  # a stock phrase of many different texts; pairs share little beyond it
+    for i in range(30):
+        base = [rng.choice(WORDS) for _ in range(17)]
+        copies.append(" ".join([*base[:1], *stock, *base[1:4]]))
+        texts.append(" ".join([*base[4:5], *stock, *base[5:8]]))
+        copies.append(" ".join([*base, *stock, *reversed(base)]))
+    rows = [(i, t, "train") for i, t in enumerate(copies)] + [(1000 + i, t, "dev") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "n long, t string, split string").repartition(40)
+    df = df.select("n", F.col("n").cast("string").alias("f"), "t", "split", F.lit("s").alias("source"))
+    got = {(r.row_a, r.row_b) for r in overlap.split_overlaps(df, "t", "n", "f", "split", "source", "train", 3, 0.5).collect()}
+    assert got == {(a[0], b[0]) for a, b in itertools.product(rows, rows) if a[2] == "train" and b[2] == "dev" and jaccard(a[1], b[1]) >= 0.5}
+
+
+def test_seeds_do_not_depend_on_the_way(monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 400
+    keys, ids = np.sort(rng.integers(0, 3, n)), rng.integers(0, 60, n)
+    tags = ((rng.integers(0, 2, n).astype(np.uint64) << np.uint64(25)) | (ids.astype(np.uint64) << np.uint64(1)) | (ids % 3 > 0)).view(np.int64)
+
+    def seeds(direct, block):
+        monkeypatch.setattr(overlap, "DIRECT", direct)
+        monkeypatch.setattr(overlap, "BLOCK", block)
+        rows = [r for b in overlap._match(keys, ids, tags, False) for r in b.to_pylist()]
+        cells = {}
+        for r in (r for b in overlap._match(keys, ids, tags, True) for r in b.to_pylist()):
+            cells.setdefault(r["cell"], []).append(r)
+        assert all(sum(r["tag"] % 2 == s for r in c) <= block for c in cells.values() for s in (0, 1))
+        far = [(a["id"], b["id"]) for c in cells.values() for a in c for b in c if a["tag"] % 2 == 0 and b["tag"] % 2 == 1]
+        return sorted([(r["a"], r["b"]) for r in rows] + far)
+
+    want = seeds(10**9, 1 << 10)
+    assert want and seeds(0, 7) == want and seeds(64, 16) == want
+
+
 def test_banded_alignment():
     x = np.array([1, 2, 3, 4, 9, 1, 2], np.uint32)
     y = np.array([7, 1, 2, 3, 4, 1, 2], np.uint32)
