@@ -17,20 +17,22 @@ DOSE_TAIL = r"^[ ,]*\d[\d.,]* ?(?:mg|mcg|g|ml|ui|iu|%)(?:/ml)?(?: +(?:po|iv|sc|i
 VALUE = r"^[^0-9.;\n]{0,40}?(\d+(?:[.,]\d+)?(?: ?/ ?\d+)?) ?(mmol/l|µmol/l|mg/l|g/l|u/l|ng/ml|ng/l|miu/l|%|°c|lan/phut|mmhg)?"
 
 
-def phrase_table(phrases: DataFrame, phrase: str, entity_type: str, longest: int = 8) -> DataFrame:
-    """(key, n, entity_type, canonical): different phrases of 1 to ``longest`` words as folded word keys."""
+def phrase_table(phrases: DataFrame, phrase: str, entity_type: str, longest: int = 80) -> DataFrame:
+    """(key, n, entity_type, canonical): different phrases of 3 to ``longest`` characters as folded word keys."""
     keyed = phrases.select(F.col(f"`{phrase}`").alias("canonical")).filter("canonical is not null")
-    keyed = keyed.withColumn("w", words(fold(F.lower("canonical")))).filter(f"size(w) between 1 and {longest}")
+    keyed = keyed.withColumn("w", words(fold(F.lower("canonical")))).filter(f"size(w) > 0 and length(trim(canonical)) <= {longest}")
     g = keyed.groupBy(F.array_join("w", " ").alias("key"), F.size("w").alias("n")).agg(F.min("canonical").alias("canonical"))
     return g.filter("length(key) >= 3").select("key", "n", F.lit(entity_type).alias("entity_type"), "canonical")
 
 
-def dictionary_spans(tok: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
+def dictionary_spans(tok: DataFrame, table: DataFrame, lengths: list[int] | None = None) -> DataFrame:
     """(id, start_pos, end_pos, entity_type, canonical, n): every occurrence, overlapping ones too, of every phrase.
 
     Word runs are built by looking ahead over each text's tokens, in one sort, and
-    joined by equality.
+    joined by equality. Their ``lengths`` are those of the table's phrases.
     """
+    if lengths is None:
+        lengths = sorted(r["n"] for r in table.select("n").distinct().collect()) or [1]  # 40 at most: phrases have 80 characters
     w = W.partitionBy("id").orderBy("pos")
     longest = max(lengths)
     ahead = [F.lead(c, i).over(w).alias(f"_{c}{i}") for i in range(longest) for c in ("key", "end_pos")]

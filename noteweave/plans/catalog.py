@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-LENGTHS = [1, 2, 3, 4, 5, 6]
+LENGTHS = [1, 2, 3, 4, 5, 6]  # of the SQL only; the code takes every length of its dictionary
 HEADINGS = [("history", "tien su|history"), ("medication", "thuoc|medication"), ("course", "dien tien|dien bien"), ("plan", "ke hoach|plan"), ("summary", "tom tat|ghi chu")]
 PRIORITY = {"THUỐC": 0, "CHẨN_ĐOÁN": 1, "TRIỆU_CHỨNG": 2, "TÊN_XÉT_NGHIỆM": 3, "KẾT_QUẢ_XÉT_NGHIỆM": 4}
 
@@ -83,7 +83,7 @@ def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.dictionary_spans(_tokens(spark, sf), _dictionary(spark, sf), LENGTHS)
+    return extract.dictionary_spans(_tokens(spark, sf), _dictionary(spark, sf))
 
 
 # --- text ------------------------------------------------------------------------------------------------------------
