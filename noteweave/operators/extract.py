@@ -16,13 +16,23 @@ FAMILY = r"(?:gia dinh|bo|me|anh|chi|em ruot|con gai|con trai|ong noi|ba noi|cau
 DOSE_TAIL = r"^[ ,]*\d[\d.,]* ?(?:mg|mcg|g|ml|ui|iu|%)(?:/ml)?(?: +(?:po|iv|sc|im|uong|tiem bap|truyen tinh mach|boi ngoai|ngam duoi luoi))?(?: +(?:bid|tid|qd|qhs|q\d+h|prn|moi toi|cach ngay))?"
 VALUE = r"^[^0-9.;\n]{0,40}?(\d+(?:[.,]\d+)?(?: ?/ ?\d+)?) ?(mmol/l|µmol/l|mg/l|g/l|u/l|ng/ml|ng/l|miu/l|%|°c|lan/phut|mmhg)?"
 
+#: Dictionaries up to this size go to every task, so the word runs need no exchange.
+BROADCAST_ROWS = 50_000
 
-def phrase_table(phrases: DataFrame, phrase: str, entity_type: str, longest: int = 80) -> DataFrame:
-    """(key, n, entity_type, canonical): different phrases of 3 to ``longest`` characters as folded word keys."""
-    keyed = phrases.select(F.col(f"`{phrase}`").alias("canonical")).filter("canonical is not null")
-    keyed = keyed.withColumn("w", words(fold(F.lower("canonical")))).filter(f"size(w) > 0 and length(trim(canonical)) <= {longest}")
-    g = keyed.groupBy(F.array_join("w", " ").alias("key"), F.size("w").alias("n")).agg(F.min("canonical").alias("canonical"))
-    return g.filter("length(key) >= 3").select("key", "n", F.lit(entity_type).alias("entity_type"), "canonical")
+
+def phrase_table(phrases: DataFrame, phrase: str, entity_type: str, longest: int = 80, alias: str | None = None) -> DataFrame:
+    """(key, n, entity_type, canonical): different phrases of 3 to ``longest`` characters as folded word keys.
+
+    With ``alias`` both columns are looked up, and an alias carries its row's
+    phrase as canonical. A key that is a phrase itself carries that one.
+    """
+    column = lambda c: F.col(f"`{c}`")
+    keyed = phrases.select(column(phrase).alias("canonical"), column(phrase).alias("p"), F.lit(0).alias("other"))
+    if alias:
+        keyed = keyed.unionByName(phrases.select(F.coalesce(column(phrase), column(alias)).alias("canonical"), column(alias).alias("p"), F.lit(1).alias("other")))
+    keyed = keyed.filter("p is not null").withColumn("w", words(fold(F.lower("p")))).filter(f"size(w) > 0 and length(trim(p)) <= {longest}")
+    g = keyed.groupBy(F.array_join("w", " ").alias("key"), F.size("w").alias("n")).agg(F.min(F.struct("other", "canonical")).alias("best"))
+    return g.filter("length(key) >= 3").select("key", "n", F.lit(entity_type).alias("entity_type"), F.col("best.canonical").alias("canonical"))
 
 
 def dictionary_spans(tok: DataFrame, table: DataFrame, lengths: list[int] | None = None) -> DataFrame:
@@ -31,8 +41,11 @@ def dictionary_spans(tok: DataFrame, table: DataFrame, lengths: list[int] | None
     Word runs are built by looking ahead over each text's tokens, in one sort, and
     joined by equality. Their ``lengths`` are those of the table's phrases.
     """
+    sizes = {r["n"]: r["count"] for r in table.groupBy("n").count().collect()}  # 40 rows at most: phrases have 80 characters
     if lengths is None:
-        lengths = sorted(r["n"] for r in table.select("n").distinct().collect()) or [1]  # 40 at most: phrases have 80 characters
+        lengths = sorted(sizes) or [1]
+    if sum(sizes.values()) <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     w = W.partitionBy("id").orderBy("pos")
     longest = max(lengths)
     ahead = [F.lead(c, i).over(w).alias(f"_{c}{i}") for i in range(longest) for c in ("key", "end_pos")]

@@ -77,8 +77,8 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [("symptoms_vi", "canonical", "TRIỆU_CHỨNG"), ("rx_reference", "name", "THUỐC"), ("icd_reference", "name_vi", "CHẨN_ĐOÁN")]
-    tables = [extract.phrase_table(_table(spark, sf, t), c, k) for t, c, k in parts]
+    parts = [("symptoms_vi", "canonical", "TRIỆU_CHỨNG", "alias"), ("rx_reference", "name", "THUỐC", None), ("icd_reference", "name_vi", "CHẨN_ĐOÁN", None)]
+    tables = [extract.phrase_table(_table(spark, sf, t), c, k, alias=a) for t, c, k, a in parts]
     return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
