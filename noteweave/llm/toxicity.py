@@ -9,8 +9,8 @@ agree within a class are taken as correlated and their votes weigh less. A
 linear classifier on hashed words and word pairs then learns the posteriors, on
 a sample of at most ``SAMPLE`` sentences of either kind, chosen by hash. Every
 sentence of every document is scored by it; a document's score is the highest of
-its sentences. The threshold is the one that agrees best with reviewers' labels
-on at most ``LABELS`` documents.
+its sentences. The threshold is the one that agrees best with reviewers' labels,
+all of them: labelled documents are counted by label and step of the score.
 
 A null, empty or blank document has score 0. Repeated texts count each.
 """
@@ -33,8 +33,8 @@ from noteweave.llm.neardup import BATCH_CHARS
 from noteweave.llm.pii import fold
 
 SAMPLE = 30_000
-LABELS = 20_000
 NEGATIVE_RATE = 16
+GRID = np.round(np.arange(0.05, 0.96, 0.01), 2)
 BITS = 18
 
 SENTENCE = re.compile(r"\n+|(?<=[.!?;])\s+")
@@ -259,17 +259,30 @@ def fit(df: DataFrame, text: str, id: str, labels: DataFrame) -> Detector:
         texts += [r["sentence"] for r in rows]
         target += [known[r["mask"]] for r in rows]
     weights = train(texts, np.array(target)) if texts else np.zeros((1 << BITS) + 1, np.float32)
-    judged = labels.groupBy(F.col(id)).agg(F.avg("toxic").alias("toxic")).filter("toxic != 0.5").orderBy(F.xxhash64(id), id).limit(LABELS)
-    scored = score(df.join(judged, id), text, ["toxic"], weights).collect()
-    return Detector(model, weights, best_threshold(np.array([r["score"] for r in scored]), np.array([r["toxic"] > 0.5 for r in scored], bool)))
+    judged = labels.groupBy(F.col(id)).agg(F.avg("toxic").alias("toxic")).filter("toxic != 0.5")
+    scored = score(df.join(judged, id), text, ["toxic"], weights).mapInArrow(_steps, "step int, bad boolean, n long")
+    rows = scored.groupBy("step", "bad").agg(F.sum("n").alias("n")).collect()  # at most two for each step of the grid
+    lows = np.concatenate([[0.0], GRID])
+    return Detector(model, weights, best_threshold(lows[[r["step"] for r in rows]], np.array([r["bad"] for r in rows], bool), np.array([r["n"] for r in rows], np.int64)))
 
 
-def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The threshold of the best F1, in the middle of the range that reaches it; 0.5 without positive labels."""
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of each label lie at each step: the number of thresholds that the score reaches."""
+    n = np.zeros((len(GRID) + 1, 2), np.int64)
+    for b in batches:
+        step = np.searchsorted(GRID, b.column("score").to_numpy(), "right")
+        np.add.at(n, (step, (b.column("toxic").to_numpy() > 0.5).astype(int)), 1)
+    step, bad = np.nonzero(n)
+    yield pa.RecordBatch.from_pydict({"step": step.astype(np.int32), "bad": bad > 0, "n": n[step, bad]})
+
+
+def best_threshold(scores: np.ndarray, toxic: np.ndarray, n: np.ndarray | None = None) -> float:
+    """The threshold of the best F1, in the middle of the range that reaches it; 0.5 without positive labels. ``n``: how often each row counts."""
     if not toxic.any():
         return 0.5
-    grid = np.round(np.arange(0.05, 0.96, 0.01), 2)
-    hit = np.array([(toxic & (scores >= g)).sum() for g in grid])
-    f1 = 2 * hit / (np.array([(scores >= g).sum() for g in grid]) + toxic.sum())
+    n = np.ones(len(scores), np.int64) if n is None else n
+    grid = GRID
+    hit = np.array([n[toxic & (scores >= g)].sum() for g in grid])
+    f1 = 2 * hit / (np.array([n[scores >= g].sum() for g in grid]) + n[toxic].sum())
     best = grid[f1 >= f1.max() - 1e-12]
     return float(best[len(best) // 2])
