@@ -194,6 +194,6 @@ def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.replace("đ", "d")) if c.isascii() and c.isalnum())
 
 
-def unmatched(rows: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+def unmatched(rows: DataFrame, linked: DataFrame, key: str | list[str]) -> DataFrame:
     """The rows that no entry is meant by."""
     return rows.join(linked.filter("code is not null").select(key), key, "left_anti")

@@ -56,14 +56,24 @@ def _typed_values(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _typed_values(spark, sf)
+def _linked(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     drugs = linking.link(rows.filter("kind = 'drug'"), "text", "drug", _table(spark, sf, "rx_reference"))
     diagnoses = linking.link(rows.filter("kind = 'diagnosis'"), "text", "diagnosis", _table(spark, sf, "icd_reference"))
-    return drugs.unionByName(diagnoses).select("src_table", "row_id", F.coalesce("code", F.lit("NONE")).alias("code"))
+    return drugs.unionByName(diagnoses)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    linked = _linked(spark, sf, _typed_values(spark, sf))
+    return linked.select("src_table", "row_id", F.coalesce("code", F.lit("NONE")).alias("code"))
 
 
 def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The values that mean no entry."""
+    rows = _typed_values(spark, sf)
+    return linking.unmatched(rows, _linked(spark, sf, rows), ["src_table", "row_id"]).select("src_table", "row_id", "text")
+
+
+def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How many values of each table mean no entry."""
     found = p3_found(spark, sf)
     return found.groupBy("src_table").agg(F.count("*").alias("n_values"), F.count_if(F.col("code") == "NONE").alias("n_unmatched"))
@@ -153,7 +163,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_unmatched, p5_found, p5_canonical, p6_found, p6_report, p7_packing, p7_report, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_redacted, p3_found, p3_unmatched, p3_counts, p5_found, p5_canonical, p6_found, p6_report, p7_packing, p7_report, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
