@@ -36,8 +36,8 @@ ACTIVITY = {"unt": 1.0, "units": 1.0, "unit": 1.0, "iu": 1.0, "ui": 1.0, "đv":
 TIMES = {"nghìn": 1e3, "nghin": 1e3, "ngàn": 1e3, "triệu": 1e6, "trieu": 1e6, "million": 1e6}
 PIECES = "viên vien ống ong giọt giot nhát gói goi lọ lo chai miếng mieng tablets tablet tabs puffs puff drops".split()
 PIECES = [*PIECES, "nhát xịt", "nhat xit"]
-#: Ratios between scales that a change of unit can make.
-KNOWN_FACTORS = (1e-6, 1e-3, 1e3, 1e6)
+#: Ratios between scales that a change of unit can make: those within each table, 10 and 100 among them.
+KNOWN_FACTORS = tuple(sorted({10.0 ** round(math.log10(a / b)) for t in (MASS, VOLUME, ACTIVITY) for a in t.values() for b in t.values() if a != b}))
 
 NUMBER = r"\d+(?:[.,]\d+)*"
 
