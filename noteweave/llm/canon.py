@@ -149,11 +149,9 @@ def unify_characters(df: DataFrame, text: str, out: str = "canonical_text") -> D
     """Adds the one form of ``text``; a column named ``out`` is replaced.
 
     Only texts with a character outside the plain set are sent to Python, so for
-    most rows this is one regular expression inside the JVM. No shuffle.
+    most rows this is one regular expression inside the JVM. One scan, no shuffle.
     """
-    odd = df.filter(F.col(f"`{text}`").rlike(ODD))
-    plain = df.filter(~F.coalesce(F.col(f"`{text}`").rlike(ODD), F.lit(False)))
-    return plain.withColumn(out, F.col(f"`{text}`")).unionByName(odd.withColumn(out, _canonical_udf(F.col(f"`{text}`"))))
+    return df.withColumn(out, canonical_column(F.col(f"`{text}`")))
 
 
 def find_variants(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -183,7 +183,7 @@ def link(rows: DataFrame, text: str, kind: str, reference: DataFrame, edits: int
         cleaned = folded.withColumn("key", apply_rules(F.col("_f"), rules))
         keyed = cleaned.select("value", "key", F.regexp_extract("key", "|".join(sorted(marks, key=len, reverse=True)), 0).alias("modifier"), F.lit("").alias("stem"))
     keyed = cut_lineage(keyed)  # read five times below
-    matched = nearest_entries(keyed, keys, edits or EDITS[kind]).select("value", "code")
+    matched = nearest_entries(keyed, keys, EDITS[kind] if edits is None else edits).select("value", "code")
     if kind == "drug":
         open_ = keyed.join(matched, "value", "left_anti")
         matched = matched.unionByName(cut_short_entries(open_, keys))

@@ -2,8 +2,8 @@
 
 Rows are exchanged and sorted by key, then each sorted partition is streamed:
 memory holds one key's ids, and only up to ``block``. A larger group's rows are
-handed on instead, spread over a square of block pairs by hash, and joined there
-in many tasks. Nothing is dropped or capped.
+handed on instead, spread over a square of block pairs by hash, as many blocks as
+its size asks for, and joined there in many tasks. Nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from noteweave.session import cut_lineage
 
 BLOCK = 1 << 10
-SPLITS = 16
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, columns: list[str], most: int) -> Iterator[tuple[bool, np.ndarray, list[np.ndarray]]]:
@@ -87,15 +86,25 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": x, "b": y, "whole": np.ones(len(x), bool)})
 
 
+def pairs_within(rows: DataFrame, key: str, id: str) -> DataFrame:
+    """Distinct pairs a < b of ids that share a key, for any types of key and id. ``rows``: distinct (key, id).
+
+    A group of m ids is cut into m / ``BLOCK`` blocks (one, for most), and each
+    pair of blocks is a join of its own: no task meets more than two blocks of a group.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_splits"))
+    known = rows.join(sizes, key)
+    own = F.pmod(F.xxhash64(id), F.col("_splits")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))
+    left = known.select(key, F.col(id).alias("a"), own.alias("_x"), every.alias("_y"))
+    right = known.select(key, F.col(id).alias("b"), every.alias("_x"), own.alias("_y"))
+    return left.join(right, [key, "_x", "_y"]).filter("a < b").select("a", "b")
+
+
 def pairs_sharing_key(rows: DataFrame) -> DataFrame:
     """Distinct pairs a < b of ids that share a key. ``rows``: key long, id long."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streamed = rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_pairs, "a long, b long, whole boolean")
     once = cut_lineage(streamed.distinct())
     rest = once.filter("not whole").select(F.col("b").alias("key"), F.col("a").alias("id"))
-    split = F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(SPLITS - 1))
-    left = rest.select("key", F.col("id").alias("a"), split.alias("x"), F.explode(every).alias("y"))
-    right = rest.select("key", F.col("id").alias("b"), F.explode(every).alias("x"), split.alias("y"))
-    far = left.join(right, ["key", "x", "y"]).filter("a < b").select("a", "b")
-    return once.filter("whole").select("a", "b").unionByName(far).distinct()
+    return once.filter("whole").select("a", "b").unionByName(pairs_within(rest, "key", "id")).distinct()

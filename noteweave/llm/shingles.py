@@ -102,13 +102,6 @@ def words(texts: Sequence[str]) -> Words:
     return Words(mix(h), np.searchsorted(starts, begin))
 
 
-def shingle_sets(w: Words, k: int, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of ``k`` words of each text as numbers of ``bits`` bits, ascending, and where each text begins."""
-    h, doc = w.windows(k)
-    both = np.unique((doc.astype(np.uint64) << U(32)) | (h >> U(64 - bits)))
-    return (both & U(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(both >> U(32), np.arange(len(w.offsets), dtype=np.uint64))
-
-
 def minhash(w: Words, k: int, size: int, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """MinHash signatures (one row per text with at least ``k`` words) and those texts' numbers.
 

@@ -52,10 +52,10 @@ def test_near_duplicates_equal_brute_force(spark):
     texts = corpus(1, 60) + ["", None, "a b", "a b"]
     texts += [texts[0]] * 40
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "k long, text string, id int")
-    got = {(r.id_a, r.id_b) for r in neardup.similar_records(df, "text", "k", 3, 0.5, 80, 4).collect()}
+    got = {(r.id_a, r.id_b) for r in neardup.similar_records(df, "text", "k", 3, 0.5, 0.99).collect()}
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] and texts[b] and jaccard(texts[a], texts[b]) >= 0.5}
     assert got <= want and len(got) >= 0.98 * len(want)
-    groups = {r.id: r for r in neardup.similar_groups(df, "text", "k", 3, 0.5, 80, 4).collect()}
+    groups = {r.id: r for r in neardup.similar_groups(df, "text", "k", 3, 0.5, 0.99).collect()}
     assert len(groups) == len(texts) and groups[61 if texts[61] else 0] is not None
     assert len({groups[i].class_id for i in range(len(texts) - 40, len(texts))} | {groups[0].class_id}) == 1
     assert groups[texts.index("")].class_id is None
@@ -63,6 +63,43 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.similar_records(none, "text", "k", 3, 0.5).count() == 0
 
 
+def test_bands_for_a_target_recall():
+    for least, recall in ((0.5, 0.9), (0.5, 0.95), (0.8, 0.99)):
+        bands, rows = neardup.choose_bands(least, recall)
+        reached = lambda b, s: 1 - (1 - s**rows) ** b  # noqa: E731, B023
+        assert reached(bands, least) >= recall > reached(bands - 1, least)
+    assert neardup.choose_bands(1.0, 0.9)[0] == 1
+
+
+def test_the_shipped_setting_reaches_its_recall(spark):
+    """Pairs of many similarities from 0.45 up, by the setting that p1_found uses."""
+    from noteweave.llm import queries
+
+    rng = random.Random(11)
+    texts = []
+    for i in range(400):
+        base = [f"u{i}x{j}" for j in range(90)]
+        other = list(base)
+        for at in rng.sample(range(90), 4 + i % 8):
+            other[at] = f"v{i}"
+        texts += [" ".join(base), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {(r.id_a, r.id_b) for r in neardup.similar_records(df, "text", "k", queries.WORDS, queries.LEAST, queries.RECALL).collect()}
+    share = {(i, i + 1): jaccard(texts[i], texts[i + 1]) for i in range(0, 800, 2)}
+    want = {p for p, s in share.items() if s >= 0.5}
+    low = {p for p, s in share.items() if 0.5 <= s < 0.6}
+    assert got <= want and len(low) > 50 and len(got & low) >= 0.88 * len(low) and len(got) >= 0.96 * len(want)
+
+
+def test_hot_copies_and_block_pairs(spark, monkeypatch):
+    from noteweave.llm import pairing
+
+    monkeypatch.setattr(pairing, "BLOCK", 7)
+    rows = spark.createDataFrame([("x", f"i{i:02d}") for i in range(40)] + [("y", "a"), ("y", "b"), ("z", "a")], "fp string, id string")
+    got = sorted((r.a, r.b) for r in pairing.pairs_within(rows, "fp", "id").collect())
+    assert got == sorted([*itertools.combinations([f"i{i:02d}" for i in range(40)], 2), ("a", "b")])
+
+
 def test_big_groups_are_split(spark, monkeypatch):
     from noteweave.llm import pairing
 
@@ -101,11 +138,28 @@ def test_overlaps_of_crowded_segments(spark):
     assert got == {(a[0], b[0]) for a, b in itertools.product(rows, rows) if a[2] == "train" and b[2] == "dev" and jaccard(a[1], b[1]) >= 0.5}
 
 
+def test_hot_segments_take_another_way_to_the_same_result(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):  # every text holds one of three runs of 16 words
+        own = [f"t{i // 2 % 6}q{j}" for j in range(16)]
+        stock = [f"s{i // 2 % 3}p{j}" for j in range(16)]
+        rows.append((i, " ".join([*own, *stock] if rng.random() < 0.5 else [*stock, *own]), "train" if i % 2 else "dev"))
+    df = spark.createDataFrame(rows, "n long, t string, split string").select("n", F.col("n").cast("string").alias("f"), "t", "split", F.lit("s").alias("source"))
+
+    def found():
+        return {(r.row_a, r.row_b) for r in overlap.split_overlaps(df, "t", "n", "f", "split", "source", "train", 3, 0.5).collect()}
+
+    want = found()
+    monkeypatch.setattr(overlap, "HOT", 2)
+    assert want and found() == want
+
+
 def test_seeds_do_not_depend_on_the_way(monkeypatch):
     rng = np.random.default_rng(1)
     n = 400
     keys, ids = np.sort(rng.integers(0, 3, n)), rng.integers(0, 60, n)
-    tags = ((rng.integers(0, 2, n).astype(np.uint64) << np.uint64(25)) | (ids.astype(np.uint64) << np.uint64(1)) | (ids % 3 > 0)).view(np.int64)
+    tags = ((rng.integers(0, 2, n).astype(np.uint64) << np.uint64(overlap.AFTER)) | (ids.astype(np.uint64) << np.uint64(1)) | (ids % 3 > 0)).view(np.int64)
 
     def seeds(direct, block):
         monkeypatch.setattr(overlap, "DIRECT", direct)
@@ -206,6 +260,29 @@ def test_mixing(spark):
     assert drawn
 
 
+def test_mixing_passes_over_long_documents(spark):
+    rows = [(i, "a", 20, 0.5) for i in range(500)] + [(600, "b", 3000, 1.0)] + [(601 + i, "b", 30, 0.3) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc long, source string, n_tokens long, weight double")
+    targets = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 2)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(df, targets, "doc")
+    report = {r.source: r for r in mixing.mix_report(mixed, targets).collect()}
+    assert abs(report["b"].actual_share - 0.2) < 0.002 and report["b"].most_uses <= 2 and report["b"].shortfall == ""
+    targets = spark.createDataFrame([("a", 0.99, 1), ("b", 0.01, 1)], "source string, target_share double, max_repeats int")
+    only = df.filter("source = 'a' or doc = 600")
+    report = {r.source: r for r in mixing.mix_report(mixing.mix(only, targets, "doc"), targets).collect()}
+    assert report["b"].tokens_used == 0 and report["b"].shortfall != "" and report["a"].shortfall == ""
+    assert mixing.mix(df.filter("doc < 0"), targets, "doc").count() == 0
+
+
+def test_mixing_prefers_heavy_weights(spark):
+    df = spark.createDataFrame([(i, "a", 10, 1.0 if i % 2 else 0.1) for i in range(4000)] + [(9000 + i, "b", 10, 1.0) for i in range(200)], "doc long, source string, n_tokens long, weight double")
+    targets = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 1)], "source string, target_share double, max_repeats int")
+    used = mixing.mix(df, targets, "doc").filter("source = 'a' and uses > 0").groupBy("weight").count().collect()
+    n = {r["weight"]: r["count"] for r in used}
+    # 800 draws without replacement among 2,000 of weight 1 and 2,000 of weight 0.1: the first lose mass as they go
+    assert sum(n.values()) == 800 and n[1.0] > 6 * n[0.1]
+
+
 def test_token_counts(spark):
     pytest.importorskip("tokenizers")
     df = spark.createDataFrame([(1, "hello world", 9), (2, None, 9), (3, "", 9), (4, "<|endoftext|>", 9)], "k long, text string, n int")
