@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noteweave.functions.text import fold, words
+from noteweave.functions.text import ACCENTED, BARE, fold, words
+from noteweave.operators.docs import per_text
 
 # Cue words, on lower case without accents.
 NEGATION = r"(?:^|[^a-z])(?:khong con|khong ghi nhan|khong co|khong thay|khong|chua|phu nhan|loai tru|no|denies|without)[^.;\n]*$"
@@ -35,29 +40,44 @@ def phrase_table(phrases: DataFrame, phrase: str, entity_type: str, longest: int
     return g.filter("length(key) >= 3").select("key", "n", F.lit(entity_type).alias("entity_type"), F.col("best.canonical").alias("canonical"))
 
 
-def dictionary_spans(tok: DataFrame, table: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+def dictionary_spans(df: DataFrame, id: str, text: str, table: DataFrame) -> DataFrame:
     """(id, start_pos, end_pos, entity_type, canonical, n): every occurrence, overlapping ones too, of every phrase.
 
-    Word runs are built by looking ahead over each text's tokens, in one sort, and
-    joined by equality. Their ``lengths`` are those of the table's phrases.
+    One pass over each text gives its word runs and their offsets; a run is
+    emitted only if a phrase of its length begins with its first word, so what
+    reaches the join is little more than the result. The first words come from
+    the table, which is looked at only while it has ``BROADCAST_ROWS`` phrases or
+    less; a larger table is joined without that help, by an exchange of all runs
+    of its lengths.
     """
-    sizes = {r["n"]: r["count"] for r in table.groupBy("n").count().collect()}  # 40 rows at most: phrases have 80 characters
-    if lengths is None:
-        lengths = sorted(sizes) or [1]
-    if sum(sizes.values()) <= BROADCAST_ROWS:
+    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    begins: dict[str, list[int]] = {}
+    if small:
+        for r in table.select(F.split("key", " ")[0].alias("f"), "n").distinct().collect():  # at most BROADCAST_ROWS rows
+            begins.setdefault(r["f"], []).append(r["n"])
+        lengths: list[int] = []
         table = F.broadcast(table)
-    w = W.partitionBy("id").orderBy("pos")
-    longest = max(lengths)
-    ahead = [F.lead(c, i).over(w).alias(f"_{c}{i}") for i in range(longest) for c in ("key", "end_pos")]
-    d = tok.select("id", "start_pos", *ahead)
-
-    def run(n: int) -> Column:
-        key = F.concat_ws(" ", *(F.col(f"_key{i}") for i in range(n)))
-        return F.struct(F.lit(n).alias("n"), F.when(F.col(f"_key{n - 1}").isNotNull(), key).alias("key"), F.col(f"_end_pos{n - 1}").alias("end_pos"))
-
-    every = d.select("id", "start_pos", F.explode(F.array(*map(run, lengths))).alias("r")).select("id", "start_pos", "r.end_pos", "r.n", "r.key")
-    found = every.filter("key is not null").join(table, ["key", "n"])
-    return found.select("id", "start_pos", "end_pos", "entity_type", "canonical", "n")
+    else:
+        lengths = sorted(r["n"] for r in table.select("n").distinct().collect())  # 40 at most: phrases have 80 characters
+
+    def cut(t: str) -> Iterator[tuple]:
+        at = [m.span() for m in _WORD.finditer(t)]
+        key = [_plain(t[a:b]) for a, b in at]
+        for i, first in enumerate(key):
+            for n in begins.get(first, lengths):
+                if i + n <= len(key):
+                    yield at[i][0], at[i + n - 1][1], n, " ".join(key[i : i + n])
+
+    runs = per_text(df, id, text, [("start_pos", pa.int32()), ("end_pos", pa.int32()), ("n", pa.int32()), ("key", pa.string())], cut)
+    return runs.join(table, ["key", "n"]).select("id", "start_pos", "end_pos", "entity_type", "canonical", "n")
+
+
+_WORD = re.compile(r"\w+")
+_TABLE = str.maketrans(ACCENTED, BARE)
+
+
+def _plain(word: str) -> str:
+    return word.lower().translate(_TABLE)
 
 
 def with_tail(spans: DataFrame, texts: DataFrame, pattern: str = DOSE_TAIL, reach: int = 80) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,55 +9,38 @@ from pyspark.sql import functions as F
 from noteweave.functions import text as tx
 from noteweave.functions.wer import wer
 from noteweave.operators import audit, docs, extract, retrieval, spans, units
+from noteweave.plans import lexical, terms  # noqa: F401
+from noteweave.plans.base import FOLD, KEY, QUERIES, SQL, Query, query
+from noteweave.plans.base import WORDS as _WORDS
+from noteweave.plans.base import table as _table
 from noteweave.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-LENGTHS = [1, 2, 3, 4, 5, 6]  # of the SQL only; the code takes every length of its dictionary
 HEADINGS = [("history", "tien su|history"), ("medication", "thuoc|medication"), ("course", "dien tien|dien bien"), ("plan", "ke hoach|plan"), ("summary", "tom tat|ghi chu")]
 PRIORITY = {"THUỐC": 0, "CHẨN_ĐOÁN": 1, "TRIỆU_CHỨNG": 2, "TÊN_XÉT_NGHIỆM": 3, "KẾT_QUẢ_XÉT_NGHIỆM": 4}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 # --- shared inputs ---------------------------------------------------------------------------------------------------
 
-FOLD = "translate({}, '" + tx.ACCENTED + "', '" + tx.BARE + "')"
-KEY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({}), '[\\[\\](){{}}\"''`,;:“”‘’]', ' ', 'g'), '[–—−]', '-', 'g'), ' *([/-]) *', '\\1', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
 TOKENS = (
     "seg AS (SELECT sample_no AS id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+')) AS token, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), 1) AS i FROM calibration WHERE text IS NOT NULL), "
     "placed AS (SELECT id, i, token, coalesce(sum(length(token)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos FROM seg), "
     "tok AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS INTEGER) AS pos, token, CAST(start_pos AS INTEGER) AS start_pos, CAST(start_pos + length(token) AS INTEGER) AS end_pos, " + FOLD.format("lower(token)") + " AS key FROM placed WHERE regexp_matches(token, '[\\p{L}\\p{N}_]+'))"
 )
 GOLD = "gold_spans AS (SELECT sample_no AS id, e.start_pos AS start_pos, e.end_pos AS end_pos, e.entity_type AS entity_type, e.text AS text FROM (SELECT sample_no, unnest(entities) AS e FROM calibration))"
-_WORDS = "regexp_extract_all(" + FOLD.format("lower({0})") + ", '[\\p{{L}}\\p{{N}}_]+')"
 
 
-def _phrases_sql(name: str, source: str, column: str, kind: str) -> str:
-    w = _WORDS.format(column)
-    return f"{name} AS (SELECT array_to_string({w}, ' ') AS key, len({w}) AS n, '{kind}' AS entity_type, min({column}) AS canonical FROM {source} WHERE {column} IS NOT NULL AND len({w}) BETWEEN 1 AND 8 GROUP BY 1, 2 HAVING length(key) >= 3)"
+def _phrases_sql(name: str, source: str, column: str, kind: str, alias: str | None = None) -> str:
+    rows = f"SELECT 0 AS other, {column} AS canonical, {column} AS p FROM {source}"
+    if alias:
+        rows += f" UNION ALL SELECT 1, coalesce({column}, {alias}), {alias} FROM {source}"
+    return f"{name} AS (SELECT array_to_string(w, ' ') AS key, len(w) AS n, w[1] AS first, '{kind}' AS entity_type, min({{'other': other, 'canonical': canonical}}).canonical AS canonical FROM (SELECT *, {_WORDS.format('p')} AS w FROM ({rows}) WHERE p IS NOT NULL AND length(trim(p)) <= 80) WHERE len(w) > 0 GROUP BY 1, 2, 3 HAVING length(array_to_string(w, ' ')) >= 3)"
 
 
-DICTIONARY = ", ".join([_phrases_sql("d1", "symptoms_vi", "canonical", "TRIỆU_CHỨNG"), _phrases_sql("d2", "rx_reference", "name", "THUỐC"), _phrases_sql("d3", "icd_reference", "name_vi", "CHẨN_ĐOÁN"), "dict AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3)"])
-_RUNS = " UNION ALL ".join(
-    f"SELECT id, start_pos, {n} AS n, array_to_string(list(key) OVER w{n}, ' ') AS key, last(end_pos) OVER w{n} AS end_pos, count(*) OVER w{n} AS c FROM tok WINDOW w{n} AS (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
-    for n in LENGTHS
+DICTIONARY = ", ".join([_phrases_sql("d1", "symptoms_vi", "canonical", "TRIỆU_CHỨNG", "alias"), _phrases_sql("d2", "rx_reference", "name", "THUỐC"), _phrases_sql("d3", "icd_reference", "name_vi", "CHẨN_ĐOÁN"), "dict AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3)"])
+FOUND = (
+    "whole AS (SELECT id, list(key ORDER BY pos) AS ks, list(start_pos ORDER BY pos) AS ss, list(end_pos ORDER BY pos) AS es FROM tok GROUP BY id), starts AS (SELECT id, ks, ss, es, unnest(ks) AS first, generate_subscripts(ks, 1) AS i FROM whole), "
+    "found AS (SELECT r.id, r.ss[i] AS start_pos, r.es[i + d.n - 1] AS end_pos, d.entity_type, d.canonical, d.n FROM starts r JOIN dict d ON r.first = d.first WHERE array_to_string(r.ks[i:i + d.n - 1], ' ') = d.key)"
 )
-FOUND = f"runs AS ({_RUNS}), found AS (SELECT r.id, r.start_pos, r.end_pos, d.entity_type, d.canonical, r.n FROM runs r JOIN dict d ON r.key = d.key AND r.n = d.n WHERE r.c = r.n)"
 PRED_SQL = f"WITH {TOKENS}, {DICTIONARY}, {FOUND}, {GOLD} "
 
 
@@ -83,7 +64,7 @@ def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.dictionary_spans(_tokens(spark, sf), _dictionary(spark, sf))
+    return extract.dictionary_spans(_table(spark, sf, "calibration"), "sample_no", "text", _dictionary(spark, sf))
 
 
 # --- text ------------------------------------------------------------------------------------------------------------
@@ -109,10 +90,10 @@ def language_guess(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").filter("text is not null").select("doc_id", guess.alias("guess"))
 
 
-_LINES = "parts AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL), lined AS (SELECT id, CAST(line_no AS INTEGER) AS line_no, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_pos FROM parts)"
+_LINES = "parts AS (SELECT doc_id AS id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(1) || chr(10)), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(1) || chr(10)), chr(13), chr(10)), chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL), lined AS (SELECT id, CAST(line_no AS INTEGER) AS line_no, rtrim(line, chr(1)) AS line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_pos FROM parts)"
 
 
-@query(f"WITH {_LINES} SELECT id, line_no, start_pos, CAST(start_pos + length(line) AS INTEGER) AS end_pos, CAST(CASE WHEN regexp_matches(line, '^( *)(?:[-*•+]|\\d+[.)]) ') THEN 1 + length(regexp_extract(line, '^( *)', 1)) // 2 ELSE 0 END AS INTEGER) AS bullet FROM lined")
+@query(f"WITH {_LINES} SELECT id, line_no, start_pos, CAST(start_pos + length(line) AS INTEGER) AS end_pos, CASE WHEN regexp_matches(line, '^\\s*[-*•]\\s+') THEN 1 WHEN regexp_matches(line, '^\\s*\\d+[.)]\\s+') THEN 2 WHEN regexp_matches(line, '^\\s*[a-zA-Z][.)]\\s+') THEN 3 END AS bullet FROM lined")
 def line_offsets(spark: SparkSession, sf: str) -> DataFrame:
     d = docs.lines(_table(spark, sf, "documents"), "doc_id", "text")
     return d.select("id", "line_no", "start_pos", "end_pos", docs.bullet_level(F.col("line")).alias("bullet"))
@@ -129,10 +110,18 @@ def section_carry_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TOKENS}, n AS (SELECT id, count(*) AS n FROM tok GROUP BY id), w AS (SELECT id, n, unnest(range(0, greatest(1, CAST(ceil((n - 16) / 48.0) AS BIGINT)))) AS window_no FROM n), b AS (SELECT id, window_no, window_no * 48 AS first_token, least(window_no * 48 + 64, n) - 1 AS last_token FROM w) SELECT b.id, CAST(window_no AS INTEGER) AS window_no, CAST(first_token AS INTEGER) AS first_token, CAST(last_token AS INTEGER) AS last_token, f.start_pos, l.end_pos FROM b JOIN tok f ON f.id = b.id AND f.pos = first_token JOIN tok l ON l.id = b.id AND l.pos = last_token")
 def token_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return docs.token_windows(_tokens(spark, sf), 64, 16)
+    return docs.token_windows(_table(spark, sf, "calibration"), "sample_no", "text", 64, 16)
 
 
-@query()
+_ENDS = "regexp_extract(left(rest, 500), '^(.*[.!?;:])', 1)"
+_BLANK = "regexp_extract(left(rest, 500), '^(.*)\\s', 1)"
+CHUNKS = f"{_LINES}, trimmed AS (SELECT id, line_no, start_pos + length(line) - length(ltrim(line, _ws)) AS at0, trim(line, _ws) AS rest FROM lined, (SELECT ' ' || chr(9) || chr(160) || chr(12) || chr(11) AS _ws) WHERE trim(line, _ws) <> ''), "
+CHUNKS += f"cuts AS (SELECT id, line_no, at0, rest, 0 AS k, CASE WHEN length(rest) <= 500 THEN length(rest) WHEN length({_ENDS}) >= 200 THEN length({_ENDS}) WHEN length({_BLANK}) >= 200 THEN length({_BLANK}) ELSE 500 END AS n FROM trimmed UNION ALL "
+CHUNKS += f"SELECT id, line_no, at0, rest, k, CASE WHEN length(rest) <= 500 THEN length(rest) WHEN length({_ENDS}) >= 200 THEN length({_ENDS}) WHEN length({_BLANK}) >= 200 THEN length({_BLANK}) ELSE 500 END FROM (SELECT id, line_no, at0 + n + (length(rest) - n - length(ltrim(substring(rest, n + 1)))) AS at0, ltrim(substring(rest, n + 1)) AS rest, k + 1 AS k FROM cuts WHERE n < length(rest)) WHERE rest <> ''), "
+CHUNKS += "chunk AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY line_no, k) - 1 AS INTEGER) AS chunk_no, line_no, CAST(at0 AS INTEGER) AS start_pos, CAST(at0 + length(rtrim(left(rest, n))) AS INTEGER) AS end_pos, rtrim(left(rest, n)) AS chunk FROM cuts)"
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT id, chunk_no, line_no, start_pos, end_pos FROM chunk")
 def chunk_split(spark: SparkSession, sf: str) -> DataFrame:
     return docs.chunks(_table(spark, sf, "documents"), "doc_id", "text", 500).drop("chunk")
 
