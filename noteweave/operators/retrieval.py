@@ -21,15 +21,17 @@ def word_terms(c: Column) -> Column:
 
 def gram_terms(c: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Character n-grams inside blank-padded words; a word shorter than n counts once."""
-    padded = F.transform(words(fold(F.lower(c))), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return grams(words(fold(F.lower(c))), sizes)
+
+
+def grams(tokens: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
+    """Character n-grams of an array of words, each padded with a blank at both ends."""
+    padded = F.transform(tokens, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of_size(w: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, F.lit(n)))
 
-    def grams(w: Column) -> Column:
-        return F.concat(*(of_size(w, n) for n in sizes))
-
-    return F.flatten(F.transform(padded, grams))
+    return F.flatten(F.transform(padded, lambda w: F.concat(*(of_size(w, n) for n in sizes))))
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -38,10 +40,15 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_top(queries: DataFrame, documents: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, code, score, rank). ``queries`` and ``documents``: postings, ids being query and code.
+    """The best ``k`` of ``bm25_scores`` and their rank; ties go to the smaller code."""
+    return _top(bm25_scores(queries, documents, k1, b), k)
+
 
-    Scores are summed before ranking and rounded to 6 digits; ties go to the
-    smaller code. Corpus statistics cover all documents.
+def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, code, score). ``queries`` and ``documents``: postings, ids being query and code.
+
+    Scores are summed before ranking and rounded to 6 digits. Corpus statistics
+    cover all documents.
     """
     stats = documents.select("id", "len").distinct().agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     df = documents.groupBy("term").agg(F.count("*").alias("df"))
@@ -51,11 +58,16 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int, k1: float = 1.5,
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
     weighted = p.select("term", F.col("id").alias("code"), part.alias("part"))
     q = queries.select(F.col("id").alias("query_id"), "term").distinct()
-    return _top(q.join(weighted, "term").groupBy("query_id", "code").agg(F.round(F.sum("part"), 6).alias("score")), k)
+    return q.join(weighted, "term").groupBy("query_id", "code").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def tfidf_top(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """(query_id, code, score, rank) by cosine of smooth-idf weighted, length-normalised vectors."""
+    """The best ``k`` of ``tfidf_scores`` and their rank; ties go to the smaller code."""
+    return _top(tfidf_scores(queries, documents), k)
+
+
+def tfidf_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, code, score) by cosine of smooth-idf weighted, length-normalised vectors."""
     n = documents.select("id").distinct().agg(F.count("*").alias("n_docs")).scalar()
     df = documents.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -67,7 +79,7 @@ def tfidf_top(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
 
     q, d = vectors(queries), vectors(documents)
     dot = q.select(F.col("id").alias("query_id"), "term", F.col("v").alias("x")).join(d.select(F.col("id").alias("code"), "term", F.col("v").alias("y")), "term")
-    return _top(dot.groupBy("query_id", "code").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("score")), k)
+    return dot.groupBy("query_id", "code").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
 
 
 def alias_table(df: DataFrame, code: str, names: list[str]) -> DataFrame:
