@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 from noteweave.functions.text import ACCENTED, BARE, fold, words
 from noteweave.operators.docs import per_text
 
-# Cue words, on lower case without accents.
-NEGATION = r"(?:^|[^a-z])(?:khong con|khong ghi nhan|khong co|khong thay|khong|chua|phu nhan|loai tru|no|denies|without)[^.;\n]*$"
-TERMINATOR = r"(?:nhung|tuy nhien|but|however|thinh thoang|;|\n)[^.;\n]*$"
-HISTORY = r"(?:tien su|tung|truoc day|lan nam vien truoc|known|history of|previous)[^.;\n]*$"
-FAMILY = r"(?:gia dinh|bo|me|anh|chi|em ruot|con gai|con trai|ong noi|ba noi|cau ruot|di ruot|family|mother|father)[^.;\n]*(?:mac|bi|cung tung|had|has)[^.;\n]*$"
+# What follows a drug or a test, on lower case without accents.
 DOSE_TAIL = r"^[ ,]*\d[\d.,]* ?(?:mg|mcg|g|ml|ui|iu|%)(?:/ml)?(?: +(?:po|iv|sc|im|uong|tiem bap|truyen tinh mach|boi ngoai|ngam duoi luoi))?(?: +(?:bid|tid|qd|qhs|q\d+h|prn|moi toi|cach ngay))?"
 VALUE = r"^[^0-9.;\n]{0,40}?(\d+(?:[.,]\d+)?(?: ?/ ?\d+)?) ?(mmol/l|µmol/l|mg/l|g/l|u/l|ng/ml|ng/l|miu/l|%|°c|lan/phut|mmhg)?"
 
@@ -94,18 +90,6 @@ def paired_values(spans: DataFrame, texts: DataFrame, reach: int = 60) -> DataFr
     return d.withColumn("value", F.regexp_extract(after, VALUE, 1)).withColumn("unit", F.regexp_extract(after, VALUE, 2)).drop("text")
 
 
-def _left(radius: int) -> Column:
-    return fold(F.lower(F.expr(f"substring(text, greatest(start_pos - {radius}, 0) + 1, least(start_pos, {radius}))")))
-
-
-def assertions(spans: DataFrame, texts: DataFrame, radius: int = 90) -> DataFrame:
-    """Adds ``negated``, ``historical`` and ``family``: a cue before the span in its sentence, for negation with no terminator between."""
-    left = _left(radius)
-    d = spans.join(texts.select("id", "text"), "id")
-    negated = left.rlike(NEGATION) & ~F.regexp_extract(left, NEGATION, 0).rlike(TERMINATOR)
-    return d.withColumn("negated", negated).withColumn("historical", left.rlike(HISTORY)).withColumn("family", left.rlike(FAMILY)).drop("text")
-
-
 def first_token_index(phrases: DataFrame, phrase: str, most: int = 250) -> DataFrame:
     """(first, rank, key): for each first word the longest ``most`` phrases (a top-k index)."""
     keyed = phrases.select(words(fold(F.lower(F.col(f"`{phrase}`")))).alias("w")).filter("size(w) > 0")

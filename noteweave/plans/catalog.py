@@ -7,9 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteweave.functions import text as tx
-from noteweave.functions.wer import wer
 from noteweave.operators import audit, docs, extract, retrieval, spans, units
-from noteweave.plans import lexical, terms  # noqa: F401
 from noteweave.plans.base import FOLD, KEY, QUERIES, SQL, Query, query
 from noteweave.plans.base import WORDS as _WORDS
 from noteweave.plans.base import table as _table
@@ -152,16 +150,6 @@ def lab_value_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return extract.paired_values(tests, _texts(spark, sf))
 
 
-_LEFT = FOLD.format("lower(substring(c.text, greatest(f.start_pos - 90, 0) + 1, least(f.start_pos, 90)))")
-_SYMPTOMS = "sym AS (SELECT DISTINCT id, start_pos, end_pos FROM gold_spans WHERE entity_type IN ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN'))"
-
-
-@query(f"WITH {GOLD}, {_SYMPTOMS}, l AS (SELECT f.id, f.start_pos, f.end_pos, {_LEFT} AS lt FROM sym f JOIN calibration c ON c.sample_no = f.id) SELECT id, start_pos, end_pos, regexp_matches(lt, '{extract.NEGATION}') AND NOT regexp_matches(regexp_extract(lt, '{extract.NEGATION}'), '{extract.TERMINATOR}') AS negated, regexp_matches(lt, '{extract.HISTORY}') AS historical, regexp_matches(lt, '{extract.FAMILY}') AS family FROM l".replace("\\n", "\n"))
-def assertion_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    d = _gold(spark, sf).filter("entity_type in ('TRIỆU_CHỨNG', 'CHẨN_ĐOÁN')").select("id", "start_pos", "end_pos").distinct()
-    return extract.assertions(d, _texts(spark, sf))
-
-
 @query(f"WITH k AS (SELECT DISTINCT {_WORDS.format('name')}[1] AS first, array_to_string({_WORDS.format('name')}, ' ') AS key FROM (SELECT name_vi AS name FROM icd_reference UNION ALL SELECT name FROM rx_reference)), r AS (SELECT first, row_number() OVER (PARTITION BY first ORDER BY length(key) DESC, key) AS rank, key FROM k) SELECT first, CAST(rank AS INTEGER) AS rank, key FROM r WHERE rank <= 250")
 def first_token_index(spark: SparkSession, sf: str) -> DataFrame:
     names = _table(spark, sf, "icd_reference").select(F.col("name_vi").alias("name")).union(_table(spark, sf, "rx_reference").select("name"))
@@ -437,30 +425,12 @@ def noise_augment(spark: SparkSession, sf: str) -> DataFrame:
 # --- scores, parsing, proposals ----------------------------------------------------------------------------------------
 
 
-@query()
-def wer_score(spark: SparkSession, sf: str) -> DataFrame:
-    d = _table(spark, sf, "symptoms_vi")
-    return d.select("alias_id", F.round(wer(F.col("canonical"), F.col("alias")), 6).alias("wer"))
-
-
 @query(f"SELECT alias_id, round(CASE WHEN len(list_distinct(list_concat(u, v))) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(u), list_distinct(v))) / len(list_distinct(list_concat(u, v)))::DOUBLE END, 6)::DOUBLE AS jaccard FROM (SELECT alias_id, coalesce({_WORDS.format('alias')}, []) AS u, coalesce({_WORDS.format('canonical')}, []) AS v FROM symptoms_vi)")
 def jaccard_score(spark: SparkSession, sf: str) -> DataFrame:
     w = lambda c: tx.words(tx.fold(F.lower(c)))
     return _table(spark, sf, "symptoms_vi").select("alias_id", F.round(tx.jaccard(w("alias"), w("canonical")), 6).alias("jaccard"))
 
 
-_STRENGTH = r"(\d+(?:[.,]\d+)?) ?(mg/ml|mcg/ml|mg|mcg|ml|g|%)(?:[^a-z]|$)"
-_ROUTE = r"(tiem bap|truyen tinh mach|boi ngoai|ngam duoi luoi|uong)(?:[^a-z]|$)"
-_SCHEDULE = r"(ngay \d+ lan|sang \d+ chieu \d+|moi toi|cach ngay|q\d+h|bid|tid|qd|qhs|prn)(?:[^a-z]|$)"
-
-
-@query(f"SELECT mention_id, coalesce(regexp_extract(t, '{_STRENGTH}', 1), '') AS strength, coalesce(regexp_extract(t, '{_STRENGTH}', 2), '') AS unit, coalesce(regexp_extract(t, '{_ROUTE}', 1), '') AS route, coalesce(regexp_extract(t, '{_SCHEDULE}', 1), '') AS schedule, coalesce(regexp_matches(t, '[a-z] ?[/+] ?[a-z]'), false) AS combination FROM (SELECT mention_id, {FOLD.format('lower(raw)')} AS t FROM parsed_drug)")
-def drug_parse(spark: SparkSession, sf: str) -> DataFrame:
-    t = tx.fold(F.lower("raw"))
-    part = lambda p, i: F.coalesce(F.regexp_extract(t, p, i), F.lit(""))
-    return _table(spark, sf, "parsed_drug").select("mention_id", part(_STRENGTH, 1).alias("strength"), part(_STRENGTH, 2).alias("unit"), part(_ROUTE, 1).alias("route"), part(_SCHEDULE, 1).alias("schedule"), F.coalesce(t.rlike("[a-z] ?[/+] ?[a-z]"), F.lit(False)).alias("combination"))
-
-
 @query("SELECT p.mention_id, r.rxcui, p.strength_value, p.strength_unit FROM parsed_drug p JOIN rx_reference r ON lower(p.normalized_name) = lower(r.name) WHERE p.strength_value IS NOT NULL")
 def ingredient_strength_join(spark: SparkSession, sf: str) -> DataFrame:
     p, r = _table(spark, sf, "parsed_drug").filter("strength_value is not null"), _table(spark, sf, "rx_reference")
@@ -502,8 +472,11 @@ def p4_unit_shifts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from noteweave.plans import entities, lexical, terms  # noqa: F401, PLC0415  # they register their queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
