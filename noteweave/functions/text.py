@@ -59,7 +59,7 @@ def ensure_text(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "))
 
 
 def strip_punctuation(c: Column) -> Column:

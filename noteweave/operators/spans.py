@@ -104,39 +104,6 @@ def boundary_kind(ps: Column, pe: Column, gs: Column, ge: Column) -> Column:
     return F.when((ps == gs) & (pe == ge), "exact").when(pe == ge, "left").when(ps == gs, "right").otherwise("both")
 
 
-def _relaxed(least_iou: float, least_containment: float):  # noqa: ANN202
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pairs = []
-        for i, p in enumerate(left.itertuples()):
-            for j, g in enumerate(right.itertuples()):
-                both = min(p.end_pos, g.end_pos) - max(p.start_pos, g.start_pos)
-                if both <= 0 or p.entity_type != g.entity_type:
-                    continue
-                a, b = p.end_pos - p.start_pos, g.end_pos - g.start_pos
-                u, c = both / (a + b - both), both / min(a, b)
-                if u >= least_iou or c >= least_containment:
-                    pairs.append((-u, -c, abs(a - b), i, j))
-        used_p, used_g, out = set(), set(), []
-        for u, _c, _, i, j in sorted(pairs):
-            if i not in used_p and j not in used_g:
-                used_p.add(i)
-                used_g.add(j)
-                p, g = left.iloc[i], right.iloc[j]
-                out.append((key[0], p.start_pos, p.end_pos, g.start_pos, g.end_pos, p.entity_type, round(-u, 6)))
-        return pd.DataFrame(out, columns=["id", "start_pos", "end_pos", "gold_start", "gold_end", "entity_type", "iou"])
-
-    return run
-
-
-def relaxed_matches(pred: DataFrame, gold: DataFrame, least_iou: float = 0.5, least_containment: float = 0.8) -> DataFrame:
-    """Greedy one-to-one matches of equal type, best first. A group is one text's spans."""
-    columns = ["id", "start_pos", "end_pos", "entity_type"]
-    kind = pred.schema["id"].dataType.simpleString()
-    p, g = (d.select(columns).orderBy("id", "start_pos", "end_pos", "entity_type") for d in (pred, gold))
-    shape = f"id {kind}, start_pos int, end_pos int, gold_start int, gold_end int, entity_type string, iou double"
-    return p.groupBy("id").cogroup(g.groupBy("id")).applyInPandas(_relaxed(least_iou, least_containment), shape)
-
-
 def structured_anchors(model: DataFrame, expert: DataFrame) -> DataFrame:
     """Model spans strictly inside or around an expert span of the same type, each with its best expert span."""
     strict = (F.col("a.start_pos") <= F.col("b.start_pos")) & (F.col("a.end_pos") >= F.col("b.end_pos")) | (F.col("b.start_pos") <= F.col("a.start_pos")) & (F.col("b.end_pos") >= F.col("a.end_pos"))

@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 FOLD = "translate({}, '" + tx.ACCENTED + "', '" + tx.BARE + "')"
 KEY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({}), '[\\[\\]()\\x7B\\x7D\"''`,;:“”‘’]', ' ', 'g'), '[–—−]', '-', 'g'), ' *([/-]) *', '\\1', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
 WORDS = "regexp_extract_all(" + FOLD.format("lower({0})") + ", '[\\pL\\pN_]+')"
-SQUEEZE = "trim(regexp_replace({}, '[\\s\u00a0\u2000-\u200a\u3000]+', ' ', 'g'))"
+SQUEEZE = "trim(regexp_replace({}, '[\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+', ' ', 'g'))"
 # a pattern without braces, as these texts are formatted several times over
 STRIP = "regexp_replace(" + FOLD + ", '\\pM+', '', 'g')"
 

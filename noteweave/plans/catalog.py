@@ -208,11 +208,6 @@ def merge_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.col("id").alias("file_id"), "start_pos", "end_pos", "entity_type", F.array_join("assertions", "|").alias("assertions"), F.array_join("candidates", "|").alias("candidates"), "n_records")
 
 
-@query()
-def greedy_non_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.greedy_non_overlapping(_found(spark, sf).withColumn("text", F.col("canonical")))
-
-
 @query()
 def complete_link_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return spans.complete_link_clusters(_scored(spark, sf))
@@ -250,11 +245,6 @@ def boundary_errors(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("a.entity_type").alias("entity_type"), kind.alias("kind")).groupBy("entity_type", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
-def relaxed_match_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.relaxed_matches(_found(spark, sf), _gold(spark, sf))
-
-
 _REPEATS = "firsts AS (SELECT file_id, rec_no, min(record_id) AS record_id FROM gold GROUP BY 1, 2), pairs AS (SELECT a.assertions AS l, b.assertions AS r, a.candidates AS lc, b.candidates AS rc, b.entity_type FROM firsts f JOIN gold a ON a.record_id = f.record_id JOIN gold b ON b.file_id = f.file_id AND b.rec_no = f.rec_no AND b.record_id <> f.record_id)"
 
 
@@ -337,20 +327,6 @@ def rerank_select(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- validation, audits, comparisons ---------------------------------------------------------------------------------
 
-_ISSUES = [
-    ("TEXT_MISSING", "coalesce(trim(text), '') = ''"), ("TYPE_UNKNOWN", "NOT coalesce(entity_type IN ('THUỐC', 'CHẨN_ĐOÁN', 'TRIỆU_CHỨNG', 'TÊN_XÉT_NGHIỆM', 'KẾT_QUẢ_XÉT_NGHIỆM'), false)"),
-    ("SPAN_SHAPE", "coalesce(len(span), -1) <> 2"), ("SPAN_ORDER", "len(span) = 2 AND span[1] >= span[2]"), ("SPAN_NEGATIVE", "len(span) = 2 AND span[1] < 0"), ("SPAN_LENGTH", "len(span) = 2 AND span[2] - span[1] <> length(text)"),
-    ("ASSERTIONS_NULL", "assertions IS NULL"), ("ASSERTION_UNKNOWN", "len(list_filter(coalesce(assertions, []), lambda x: NOT x IN ('isNegated', 'isFamily', 'isHistorical'))) > 0"), ("ASSERTION_REPEATED", "len(coalesce(assertions, [])) <> len(list_distinct(coalesce(assertions, [])))"),
-    ("CANDIDATES_NOT_ALLOWED", "NOT entity_type IN ('THUỐC', 'CHẨN_ĐOÁN') AND len(coalesce(candidates, [])) > 0"), ("CANDIDATES_NULL", "entity_type IN ('THUỐC', 'CHẨN_ĐOÁN') AND candidates IS NULL"),
-    ("CANDIDATE_FORM", "len(list_filter(coalesce(candidates, []), lambda c: NOT regexp_matches(c, '^(?:[A-Z][0-9]{2}(?:\\.[0-9])?|[0-9]+)$'))) > 0"), ("TEXT_EDGE_BLANK", "text <> trim(text)"),
-]
-
-
-@query("SELECT id, code FROM (" + " UNION ALL ".join(f"SELECT record_id AS id, '{n}' AS code FROM gold WHERE coalesce({c}, false)" for n, c in _ISSUES) + ")")
-def record_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.record_issues(_table(spark, sf, "gold"), "record_id")
-
-
 @query("WITH a AS (SELECT file_id, count(*) AS n_inputs FROM gold WHERE file_id IS NOT NULL GROUP BY 1), b AS (SELECT file_id, count(*) AS n_outputs FROM parsed_drug WHERE file_id IS NOT NULL GROUP BY 1) SELECT file_id, coalesce(n_inputs, 0) AS n_inputs, coalesce(n_outputs, 0) AS n_outputs, CASE WHEN coalesce(n_outputs, 0) = 0 THEN 'missing' WHEN coalesce(n_inputs, 0) = 0 THEN 'extra' ELSE 'both' END AS state FROM a FULL JOIN b USING (file_id)")
 def directory_validation(spark: SparkSession, sf: str) -> DataFrame:
     return audit.coverage(_table(spark, sf, "gold"), _table(spark, sf, "parsed_drug"), "file_id")
@@ -437,13 +413,6 @@ def ingredient_strength_join(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(r, F.lower("normalized_name") == F.lower("name")).select("mention_id", "rxcui", "strength_value", "strength_unit")
 
 
-@query(PRED_SQL + ", pr AS (SELECT id, start_pos, end_pos, entity_type, 'dictionary' AS pass FROM found UNION ALL SELECT id, start_pos, end_pos, entity_type, 'reviewer' FROM gold_spans) SELECT id, start_pos, end_pos, entity_type, string_agg(DISTINCT pass, '|' ORDER BY pass) AS passes, CAST(count(DISTINCT pass) AS BIGINT) AS agreement FROM pr GROUP BY 1, 2, 3, 4")
-def proposal_merge(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["id", "start_pos", "end_pos", "entity_type"]
-    both = _found(spark, sf).select(*columns, F.lit("dictionary").alias("pass")).unionByName(_gold(spark, sf).select(*columns, F.lit("reviewer").alias("pass")))
-    return both.groupBy(*columns).agg(F.array_join(F.array_sort(F.collect_set("pass")), "|").alias("passes"), F.count_distinct("pass").alias("agreement"))
-
-
 @query()
 def record_json(spark: SparkSession, sf: str) -> DataFrame:
     return files.format_records(_gold(spark, sf).withColumns({"assertions": F.lit(None).cast("array<string>"), "candidates": F.lit(None).cast("array<string>")}))
@@ -472,7 +441,7 @@ def p4_unit_shifts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from noteweave.plans import entities, lexical, terms  # noqa: F401, PLC0415  # they register their queries
+    from noteweave.plans import corpus, entities, evaluation, lexical, terms  # noqa: F401, PLC0415  # they register their queries
 
     return dict(QUERIES)
 
