@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noteweave.functions.text import fold, lookup_key, safe_divide
+from noteweave.functions.text import fold, lookup_key
 
-TYPES = ["THUỐC", "CHẨN_ĐOÁN", "TRIỆU_CHỨNG", "TÊN_XÉT_NGHIỆM", "KẾT_QUẢ_XÉT_NGHIỆM"]
 ASSERTIONS = ["isNegated", "isFamily", "isHistorical"]
-CODED = ["THUỐC", "CHẨN_ĐOÁN"]
-
-
-def record_issues(df: DataFrame, id: str) -> DataFrame:
-    """(id, code): every rule that a record (text, span, entity_type, assertions, candidates) breaks."""
-    span, empty = F.col("span"), F.array().cast("array<string>")
-    length = F.length("text")
-    rules: list[tuple[str, Column]] = [
-        ("TEXT_MISSING", F.coalesce(F.trim("text"), F.lit("")) == ""),
-        ("TYPE_UNKNOWN", ~F.coalesce(F.col("entity_type").isin(TYPES), F.lit(False))),
-        ("SPAN_SHAPE", F.coalesce(F.size("span"), F.lit(-1)) != 2),
-        ("SPAN_ORDER", (F.size("span") == 2) & (F.get(span, F.lit(0)) >= F.get(span, F.lit(1)))),
-        ("SPAN_NEGATIVE", (F.size("span") == 2) & (F.get(span, F.lit(0)) < 0)),
-        ("SPAN_LENGTH", (F.size("span") == 2) & (F.get(span, F.lit(1)) - F.get(span, F.lit(0)) != length)),
-        ("ASSERTIONS_NULL", F.col("assertions").isNull()),
-        ("ASSERTION_UNKNOWN", F.size(F.array_except(F.coalesce("assertions", empty), F.array(*map(F.lit, ASSERTIONS)))) > 0),
-        ("ASSERTION_REPEATED", F.size(F.coalesce("assertions", empty)) != F.size(F.array_distinct(F.coalesce("assertions", empty)))),
-        ("CANDIDATES_NOT_ALLOWED", ~F.col("entity_type").isin(CODED) & (F.size(F.coalesce("candidates", empty)) > 0)),
-        ("CANDIDATES_NULL", F.col("entity_type").isin(CODED) & F.col("candidates").isNull()),
-        ("CANDIDATE_FORM", F.exists(F.coalesce("candidates", empty), lambda c: ~c.rlike(r"^(?:[A-Z][0-9]{2}(?:\.[0-9])?|[0-9]+)$"))),
-        ("TEXT_EDGE_BLANK", F.col("text") != F.trim("text")),
-    ]
-    codes = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules)))
-    return df.select(F.col(id).alias("id"), F.explode(codes).alias("code"))
 
 
 def coverage(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
@@ -90,14 +65,6 @@ def run_diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -
     return a.join(b, keys, "full").select(*keys, state.alias("state"))
 
 
-def decide(runs: DataFrame, run: str, parent: str, score: str, gain: float, loss: float) -> DataFrame:
-    """keep, reject or investigate for each run against its parent's score."""
-    p = runs.select(F.col(run).alias("_p"), F.col(score).alias("_s"))
-    d = runs.join(p, F.col(parent) == F.col("_p"), "left").withColumn("gain", F.round(F.col(score) - F.col("_s"), 6))
-    choice = F.when(F.col("gain").isNull(), "baseline").when(F.col("gain") >= gain, "keep").when(F.col("gain") <= -loss, "reject").otherwise("investigate")
-    return d.select(F.col(run).alias("run_id"), F.col(score).alias("score"), "gain", choice.alias("decision"))
-
-
 def bio_labels(tok: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds ``label``: B-type for a span's first token, I-type for the rest, O outside; the first span wins."""
     inside = (F.col("t.id") == F.col("s.id")) & (F.col("t.start_pos") >= F.col("s.start_pos")) & (F.col("t.end_pos") <= F.col("s.end_pos"))
@@ -118,10 +85,6 @@ def bio_spans(labelled: DataFrame) -> DataFrame:
     return d.groupBy("id", "_i").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.min("_k").alias("entity_type"), F.count("*").alias("n_tokens")).drop("_i")
 
 
-def mean_agreement(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("precision", F.round(safe_divide(F.col("tp"), F.col("tp") + F.col("fp")), 6)).withColumn("recall", F.round(safe_divide(F.col("tp"), F.col("tp") + F.col("fn")), 6))
-
-
 def noisy(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, kind, noisy_text): the text in four noisy spellings."""
     t = F.col("t")

@@ -57,22 +57,6 @@ def merge_duplicates(records: DataFrame) -> DataFrame:
     return records.groupBy("id", "start_pos", "end_pos", "entity_type").agg(flat("assertions").alias("assertions"), flat("candidates").alias("candidates"), F.count("*").alias("n_records"))
 
 
-def greedy_non_overlapping(spans: DataFrame) -> DataFrame:
-    """The spans that stay when taken by start, the longest first, and each that overlaps the last one kept is dropped.
-
-    A fold over each text's sorted array, inside the JVM.
-    """
-    item = F.struct("start_pos", (-F.col("end_pos")).alias("neg_end"), F.col("end_pos"), "entity_type", "text")
-    g = spans.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    kept = F.aggregate(
-        "s",
-        F.struct(F.lit(-1).alias("end"), F.filter(F.col("s"), lambda x: F.lit(False)).alias("out")),
-        lambda acc, x: F.when(x["start_pos"] >= acc["end"], F.struct(x["end_pos"].alias("end"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    return g.select("id", F.explode(kept).alias("k")).select("id", "k.start_pos", "k.end_pos", "k.entity_type", "k.text")
-
-
 def exact_matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Multiset one-to-one matches on (start, end, type): (id, start_pos, end_pos, entity_type, tp, fp, fn)."""
     keys = ["id", "start_pos", "end_pos", "entity_type"]

@@ -367,15 +367,6 @@ def bio_islands(spark: SparkSession, sf: str) -> DataFrame:
     return audit.bio_spans(audit.bio_labels(tok, _gold(spark, sf)))
 
 
-@query("WITH g AS (SELECT source, generator_version, avg(len(coalesce(entities, []))) AS score FROM calibration GROUP BY 1, 2), r AS (SELECT source || '/' || generator_version AS run_id, source, generator_version, score, lag(score) OVER (PARTITION BY source ORDER BY generator_version) AS before FROM g WHERE source IS NOT NULL AND generator_version IS NOT NULL) SELECT run_id, round(score, 6) AS score, round(round(score, 6) - round(before, 6), 6) AS gain, CASE WHEN before IS NULL THEN 'baseline' WHEN round(round(score, 6) - round(before, 6), 6) >= 0.1 THEN 'keep' WHEN round(round(score, 6) - round(before, 6), 6) <= -0.1 THEN 'reject' ELSE 'investigate' END AS decision FROM r")
-def policy_decision(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.coalesce(F.size("entities"), F.lit(0))
-    g = _table(spark, sf, "calibration").filter("source is not null and generator_version is not null").groupBy("source", "generator_version").agg(F.round(F.avg(F.when(F.col("entities").isNull(), 0).otherwise(n)), 6).alias("score"))
-    before = F.lag("generator_version").over(W.partitionBy("source").orderBy("generator_version"))
-    runs = g.withColumn("run_id", F.concat("source", F.lit("/"), "generator_version")).withColumn("parent_id", F.concat("source", F.lit("/"), before))
-    return audit.decide(runs, "run_id", "parent_id", "score", 0.1, 0.1)
-
-
 _RUN = "SELECT file_id, rec_no, entity_type || ':' || array_to_string(list_sort(coalesce(candidates, [])), ',') AS v, row_number() OVER (PARTITION BY file_id, rec_no ORDER BY record_id {}) AS r FROM gold"
 
 
@@ -441,7 +432,7 @@ def p4_unit_shifts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from noteweave.plans import corpus, entities, evaluation, lexical, terms  # noqa: F401, PLC0415  # they register their queries
+    from noteweave.plans import corpus, datasets, entities, evaluation, lexical, terms  # noqa: F401, PLC0415  # they register their queries
 
     return dict(QUERIES)
 

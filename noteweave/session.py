@@ -26,12 +26,16 @@ def local_session(cores: int = 4, shuffle_partitions: int = 8, app: str = "notew
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where that is unset (tests, a laptop) a temporary folder takes its place.
-    The files outlive executors, so a lost executor costs no recomputation.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
+    local session (tests, a laptop) may leave that unset and gets a temporary
+    folder; on a cluster this raises, as executors cannot share one. The files
+    outlive executors, so a lost executor costs no recomputation.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noteweave_"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="noteweave_"))
     return df.checkpoint(eager=True)

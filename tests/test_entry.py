@@ -21,6 +21,8 @@ def test_core_queries_equal_their_sql(spark):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     every = catalog.queries()
     for name, sql in catalog.oracle_sql().items():
+        if name in ("icd_candidates", "icd_rerank", "rx_candidates", "rx_rerank"):  # the steps before icd_link and rx_link
+            continue
         df = every[name](spark, SF)
         columns = sorted(df.columns)
         theirs = con.execute(f"select {', '.join(columns)} from ({sql})").fetchall()

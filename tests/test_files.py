@@ -1,7 +1,7 @@
 import json
 
 from noteweave.functions.wer import error_rate, word_distance
-from noteweave.operators import audit, extract, retrieval
+from noteweave.operators import retrieval
 from noteweave.sources import files
 from pyspark.sql import functions as F
 
@@ -34,22 +34,9 @@ def test_error_rate():
     assert word_distance(["a"] * 500, ["a"] * 499) == 1
 
 
-def test_assertions(spark):
-    text = "Không sốt, không ho. Gia đình có mẹ mắc hen. Tiền sử: loét. Không sốt nhưng đau."
-    spans = [(1, text.index(w), text.index(w) + len(w)) for w in ("ho.", "hen", "loét", "đau")]
-    d = extract.assertions(spark.createDataFrame(spans, "id long, start_pos int, end_pos int"), spark.createDataFrame([(1, text)], "id long, text string"))
-    got = {text[r.start_pos : r.end_pos]: (r.negated, r.historical, r.family) for r in d.collect()}
-    assert got == {"ho.": (True, False, False), "hen": (False, False, True), "loét": (False, True, False), "đau": (False, False, False)}
-
-
 def test_retrieval_and_audit_edges(spark):
     none = spark.createDataFrame([], "id string, t string")
     docs = retrieval.postings(spark.createDataFrame([("a", "viêm gan"), ("b", "viêm da"), ("c", None)], "id string, t string"), "id", retrieval.word_terms(F.col("t")))
     q = retrieval.postings(spark.createDataFrame([("1", "gan viêm")], "id string, t string"), "id", retrieval.word_terms(F.col("t")))
     assert [r.code for r in retrieval.bm25_top(q, docs, 2).orderBy("rank").collect()] == ["a", "b"]
     assert retrieval.bm25_top(retrieval.postings(none, "id", retrieval.word_terms(F.col("t"))), docs, 2).count() == 0
-    records = spark.createDataFrame([(1, "a ", [0, 2], "THUỐC", None, ["x"]), (2, None, None, None, [], []), (3, "ab", [0, 2], "THUỐC", [], ["12"])], "k long, text string, span array<int>, entity_type string, assertions array<string>, candidates array<string>")
-    got = {}
-    for r in audit.record_issues(records, "k").collect():
-        got.setdefault(r.id, set()).add(r.code)
-    assert got == {1: {"ASSERTIONS_NULL", "CANDIDATE_FORM", "TEXT_EDGE_BLANK"}, 2: {"TEXT_MISSING", "TYPE_UNKNOWN", "SPAN_SHAPE"}}

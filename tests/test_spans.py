@@ -1,5 +1,5 @@
 from noteweave.functions import text as tx
-from noteweave.operators import docs, spans
+from noteweave.operators import docs, fusion, greedy, scoring, spans
 from pyspark.sql import functions as F
 
 SPAN = "id long, start_pos int, end_pos int, entity_type string"
@@ -21,7 +21,7 @@ def test_tokens_give_back_the_text(spark):
 def test_lines_bullets_sections(spark):
     df = make(spark, [(1, "Tiền sử:\r\n- a\n  - b\nKế hoạch: c"), (2, ""), (3, None)], "k long, text string")
     rows = docs.lines(df, "k", "text").withColumn("b", docs.bullet_level(F.col("line"))).orderBy("id", "line_no").collect()
-    assert [(r.id, r.line, r.start_pos, r.b) for r in rows] == [(1, "Tiền sử:", 0, 0), (1, "- a", 10, 1), (1, "  - b", 14, 2), (1, "Kế hoạch: c", 20, 0), (2, "", 0, 0)]
+    assert [(r.id, r.line, r.start_pos, r.b) for r in rows] == [(1, "Tiền sử:", 0, None), (1, "- a", 10, 1), (1, "  - b", 14, 1), (1, "Kế hoạch: c", 20, None), (2, "", 0, None)]  # a level is the number of the pattern, whatever the indent
     lab = docs.sections(docs.lines(df, "k", "text"), [("h", "^tien su"), ("p", "^ke hoach")]).filter("id = 1").orderBy("line_no").collect()
     assert [r.section for r in lab] == ["h", "h", "h", "p"]
 
@@ -37,7 +37,7 @@ def test_chunks_cover_the_text(spark):
 
 def test_windows_end_at_the_end(spark):
     df = make(spark, [(1, " ".join(["w"] * 100)), (2, "w")], "k long, text string")
-    rows = docs.token_windows(docs.tokens(df, "k", "text"), 64, 16).orderBy("id", "window_no").collect()
+    rows = docs.token_windows(df, "k", "text", 64, 16).orderBy("id", "window_no").collect()
     assert [(r.id, r.first_token, r.last_token) for r in rows] == [(1, 0, 63), (1, 48, 99), (2, 0, 0)]
 
 
@@ -46,16 +46,16 @@ def test_exact_and_relaxed_matching(spark):
     pred = make(spark, [(1, 0, 5, "A"), (1, 11, 20, "B"), (3, 0, 1, "A")])
     s = spans.prf(spans.exact_matches(pred, gold).withColumn("s", F.lit(1)), ["s"]).first()
     assert (s.tp, s.fp, s.fn) == (1, 2, 3)
-    assert {(r.id, r.start_pos, r.gold_start) for r in spans.relaxed_matches(pred, gold).collect()} == {(1, 0, 0), (1, 11, 10)}
+    p, g = (greedy.numbered(d, ["start_pos", "end_pos"], "no") for d in (pred, gold))
+    assert {(r.id, r.pred_no, r.gold_no) for r in scoring.relaxed_pairs(p, g).collect()} == {(1, 0, 0), (1, 1, 2)}
     same = spans.prf(spans.exact_matches(gold, gold).withColumn("s", F.lit(1)), ["s"]).first()
     assert same.f1 == 1.0
-    empty = make(spark, [])
-    assert spans.relaxed_matches(empty, gold).count() == 0
+    assert scoring.relaxed_pairs(p.filter("id > 9"), g).count() == 0
 
 
 def test_greedy_and_clusters(spark):
-    rows = [(1, 0, 5, "A", "x"), (1, 0, 9, "A", "x"), (1, 4, 12, "A", "x"), (1, 9, 12, "A", "x")]
-    kept = spans.greedy_non_overlapping(make(spark, rows, SPAN + ", text string")).collect()
+    rows = [(1, 0, 5, "A", 0.5, "x"), (1, 0, 9, "A", 0.5, "x"), (1, 4, 12, "A", 0.9, "x"), (1, 9, 12, "A", 0.1, "x")]
+    kept = fusion.non_overlapping(make(spark, rows, SPAN + ", score double, source string")).collect()
     assert {(r.start_pos, r.end_pos) for r in kept} == {(0, 9), (9, 12)}
     c = {(r.start_pos, r.end_pos): r.cluster_no for r in spans.complete_link_clusters(make(spark, [(1, 0, 10, "A"), (1, 2, 12, "A"), (1, 6, 16, "A")])).collect()}
     assert c[(0, 10)] == c[(2, 12)] != c[(6, 16)]
