@@ -46,21 +46,23 @@ def dictionary_spans(df: DataFrame, id: str, text: str, table: DataFrame) -> Dat
     less; a larger table is joined without that help, by an exchange of all runs
     of its lengths.
     """
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    first = F.split("key", " ")[0]
+    sizes = table.groupBy(first.alias("f"), "n").agg(F.count("*").alias("c")).limit(BROADCAST_ROWS + 1).collect()
     begins: dict[str, list[int]] = {}
-    if small:
-        for r in table.select(F.split("key", " ")[0].alias("f"), "n").distinct().collect():  # at most BROADCAST_ROWS rows
+    lengths: list[int] = []
+    if sum(r["c"] for r in sizes) <= BROADCAST_ROWS:
+        for r in sizes:
             begins.setdefault(r["f"], []).append(r["n"])
-        lengths: list[int] = []
         table = F.broadcast(table)
     else:
         lengths = sorted(r["n"] for r in table.select("n").distinct().collect())  # 40 at most: phrases have 80 characters
 
     def cut(t: str) -> Iterator[tuple]:
         at = [m.span() for m in _WORD.finditer(t)]
-        key = [_plain(t[a:b]) for a, b in at]
-        for i, first in enumerate(key):
-            for n in begins.get(first, lengths):
+        plain = _plain(t)
+        key = [plain[a:b] for a, b in at] if len(plain) == len(t) else [_plain(t[a:b]) for a, b in at]
+        for i, word in enumerate(key):
+            for n in begins.get(word, lengths):
                 if i + n <= len(key):
                     yield at[i][0], at[i + n - 1][1], n, " ".join(key[i : i + n])
 
