@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import canon, linking, mixing, neardup, overlap, packing, pii, tokens, toxicity
+from noteweave.llm import canon, linking, mixing, neardup, overlap, packing, pii, sql, tokens, toxicity
 from noteweave.session import cut_lineage
 
 #: Notes are compared by three words, at one half: see TESTDATA.md, problem 1.
@@ -168,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
