@@ -9,7 +9,7 @@ digits for phones and identity numbers), and context words before and after it,
 which raise or lower it. Proposals of ``ACCEPT`` or more stay; where two overlap
 the earlier kind in ``KINDS`` wins.
 
-Place and name lexicons are parameters. A name or place outside them is still
+Place and name lexicons are constants of this module. A name or place outside them is still
 found where its form and context are clear.
 
 Null, empty and blank texts hold no personal data; a null stays null.
