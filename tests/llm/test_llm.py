@@ -118,6 +118,24 @@ def test_split_overlaps_equal_brute_force(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_overlaps_need_no_long_common_run(spark):
+    """Pairs at the threshold whose common runs all have 6 to 9 words, one text much longer than the other, and one edited every 9 words."""
+    rng, rows = random.Random(21), []
+    for i in range(30):
+        base = [f"b{i}x{j}" for j in range(60 + i)]
+        length = 6 + i % 4
+        parts = [base[a : a + length] for a in range(0, len(base), length)]
+        rng.shuffle(parts)
+        edited = [f"e{i}" if j % 9 == 8 else w for j, w in enumerate(base)]
+        longer = [*base, *(f"l{i}x{j}" for j in range(len(base) - 6))]
+        rows += [(4 * i, base, "train"), (4 * i + 1, [w for p in parts for w in p], "dev"), (4 * i + 2, edited, "dev"), (4 * i + 3, longer, "dev")]
+    rows = [(n, " ".join(t), s) for n, t, s in rows]
+    df = spark.createDataFrame(rows, "n long, t string, split string").select("n", F.col("n").cast("string").alias("f"), "t", "split", F.lit("s").alias("source"))
+    got = {(r.row_a, r.row_b) for r in overlap.split_overlaps(df, "t", "n", "f", "split", "source", "train", 3, 0.5).collect()}
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if (a[2] == "train") != (b[2] == "train") and jaccard(a[1], b[1]) >= 0.5}
+    assert len({b % 4 for _, b in want}) == 3 and got == want
+
+
 def test_overlaps_of_crowded_segments(spark):
     rng = random.Random(7)
     texts, copies = [], []
