@@ -7,7 +7,9 @@ size is bounded by pairs within one text. Null positions match nothing.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,30 +101,39 @@ def structured_anchors(model: DataFrame, expert: DataFrame) -> DataFrame:
 
 
 def _cluster(least: float):  # noqa: ANN202
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["start_pos", "end_pos", "entity_type"]).reset_index(drop=True)
-        groups: list[list[int]] = []
-        number = []
-        for i, x in enumerate(p.itertuples()):
-            for n, g in enumerate(groups):
-                if all(_fits(x, p.iloc[j], least) for j in g):
-                    g.append(i)
-                    number.append(n)
-                    break
-            else:
-                number.append(len(groups))
-                groups.append([i])
-        return p.assign(cluster_no=number)[["id", "start_pos", "end_pos", "entity_type", "cluster_no"]]
+    """Streams spans sorted by id, start, end and type. Only clusters that a later span can still join are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, live = object(), 0, []
+        for b in batches:
+            number = []
+            for id, start, end in zip(*(b.column(c).to_pylist() for c in ("id", "start_pos", "end_pos")), strict=True):
+                if id != at:
+                    at, n, live = id, 0, []
+                if start is not None and end is not None:
+                    live = [g for g in live if g[1] > start]  # a member that ends here shares nothing with this span or a later one
+                    joined = next((g for g in live if all(_fits(start, end, s, e, least) for s, e in g[2])), None)
+                    if joined:
+                        joined[1] = min(joined[1], end)
+                        joined[2].append((start, end))
+                        number.append(joined[0])
+                        continue
+                    live.append([n, end, [(start, end)]])
+                number.append(n)
+                n += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int32())], names=[*b.schema.names, "cluster_no"])
 
     return run
 
 
-def _fits(x, y, least: float) -> bool:  # noqa: ANN001
-    both = min(x.end_pos, y.end_pos) - max(x.start_pos, y.start_pos)
-    return both > 0 and both / (x.end_pos - x.start_pos + y.end_pos - y.start_pos - both) >= least
+def _fits(start: int, end: int, s: int, e: int, least: float) -> bool:
+    both = min(end, e) - max(start, s)
+    return both > 0 and both / (end - start + e - s - both) >= least
 
 
 def complete_link_clusters(spans: DataFrame, least: float = 0.5) -> DataFrame:
-    """First-fit clusters in which every pair has IoU ``least`` or more. A group is one text's spans."""
-    kind = spans.schema["id"].dataType.simpleString()
-    return spans.select("id", "start_pos", "end_pos", "entity_type").distinct().groupBy("id").applyInPandas(_cluster(least), f"id {kind}, start_pos int, end_pos int, entity_type string, cluster_no int")
+    """First-fit clusters in which every pair has IoU ``least`` or more."""
+    d = spans.select("id", F.col("start_pos").cast("int"), F.col("end_pos").cast("int"), "entity_type").distinct()
+    order = [F.asc_nulls_last(c) for c in ("start_pos", "end_pos", "entity_type")]
+    shape = f"id {spans.schema['id'].dataType.simpleString()}, start_pos int, end_pos int, entity_type string, cluster_no int"
+    return d.repartition("id").sortWithinPartitions("id", *order).mapInArrow(_cluster(least), shape)

@@ -1,3 +1,5 @@
+import time
+
 from noteweave.functions import text as tx
 from noteweave.operators import docs, fusion, greedy, scoring, spans
 from pyspark.sql import functions as F
@@ -61,6 +63,20 @@ def test_greedy_and_clusters(spark):
     assert c[(0, 10)] == c[(2, 12)] != c[(6, 16)]
 
 
+def test_clusters_of_a_long_text(spark):
+    """Many spans of one id, in which only near ones can share a cluster."""
+    rows = [(1, 3 * i, 3 * i + 10 + i % 7, "A") for i in range(4000)]
+    began, got = time.time(), {(r.start_pos, r.end_pos): r.cluster_no for r in spans.complete_link_clusters(make(spark, rows)).collect()}
+    assert time.time() - began < 30
+    groups = []
+    for _, s, e, _ in sorted(rows):
+        near = [(n, g) for n, g in enumerate(groups[-40:], max(0, len(groups) - 40)) if all(2 * (min(e, y) - s) >= (max(e, y) - x) for x, y in g)]
+        n = near[0][0] if near else len(groups)
+        groups = groups if near else [*groups, []]
+        groups[n].append((s, e))
+        assert got[(s, e)] == n
+
+
 def test_similarity_edges(spark):
     df = spark.createDataFrame([(["a", "b"], ["b"]), ([], []), (None, ["a"])], "x array<string>, y array<string>")
     assert [r[0] for r in df.select(tx.jaccard(F.col("x"), F.col("y"))).collect()] == [0.5, 1.0, 0.0]
