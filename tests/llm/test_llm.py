@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from noteweave.llm import canon, linking, mixing, neardup, overlap, packing, pii, shingles, tokens, toxicity
 from pyspark.sql import functions as F
@@ -194,6 +195,23 @@ def test_seeds_do_not_depend_on_the_way(monkeypatch):
     assert want and seeds(0, 7) == want and seeds(3, 16) == want
 
 
+def test_overlaps_verify_few_long_texts_that_share_a_phrase(spark, monkeypatch):
+    """Long texts of the two sides share five words and no more: their bitmaps tell before any word list is sent."""
+    phrase = lambda i, c: [f"p{i}x{c}x{j}" for j in range(5)]
+    rows = []
+    for i in range(120):
+        base = [f"b{i}x{j}" for j in range(300)]
+        rows += [(4 * i, [*base, *phrase(i, 0)], "train"), (4 * i + 1, [*phrase(i, 0), *(f"o{i}x{j}" for j in range(300))], "dev")]
+        if i < 5:
+            rows.append((4 * i + 2, ["other" if j % 40 == 20 else w for j, w in enumerate(base)], "dev"))
+    df = spark.createDataFrame([(n, " ".join(t), s) for n, t, s in rows], "n long, t string, split string")
+    df = df.select("n", F.col("n").cast("string").alias("f"), "t", "split", F.lit("s").alias("source"))
+    sent, lists = [], overlap.with_word_lists
+    monkeypatch.setattr(overlap, "with_word_lists", lambda candidates, *rest: (sent.append(candidates.count()), lists(candidates, *rest))[1])
+    got = {(r.row_a, r.row_b) for r in overlap.split_overlaps(df, "t", "n", "f", "split", "source", "train", 3, 0.5).collect()}
+    assert got == {(4 * i, 4 * i + 2) for i in range(5)} and sent == [5]
+
+
 def test_banded_alignment():
     x = np.array([1, 2, 3, 4, 9, 1, 2], np.uint32)
     y = np.array([7, 1, 2, 3, 4, 1, 2], np.uint32)
@@ -201,6 +219,28 @@ def test_banded_alignment():
     assert got.tolist() == [4, 2]
 
 
+def test_packed_segments_are_all_there_and_bitmaps_never_differ_in_more_than_the_runs():
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(base[a : a + n]) for a, n in [(rng.randrange(300), rng.choice([3, 40, 143, 200, 500, 2400])) for _ in range(60)]] + ["", "a b"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    levels, none = np.zeros(overlap.SLOTS, np.uint8), np.zeros(overlap.SLOTS, bool)
+    (f,) = overlap._firsts(iter([batch]), 3, 0.5, True, levels)
+    rows = [r for b in overlap._pack(3, 0.5, True, levels, none, 7)(iter([batch])) for r in b.to_pylist()]
+    got = []
+    for r in rows:
+        keys, doc, place, ids, tags, of, tables = overlap._unpack([r["packed"], r["packed"]])
+        assert len(of) == len(tables) and sorted(np.concatenate(of).tolist()) == list(range(len(ids)))
+        got += list(zip(keys.tolist(), ids[doc].tolist(), place.tolist(), tags[doc].tolist(), strict=True))[: len(keys) // 2]
+    assert sorted(got) == sorted(zip((f.values >> np.uint64(32)).tolist(), f.ids[f.doc].tolist(), f.place.tolist(), f.tags[f.doc].tolist(), strict=True))
+    marks = overlap._Bitmaps.of(np.split(np.arange(len(f.ids)), np.cumsum(f.texts)[:-1]), f.tables, np.arange(len(f.ids)))
+    again = overlap._Bitmaps.read(np.array(marks.written(), object))
+    sets = {int(shingles.words([t]).fingerprints()[0]): {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts}
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(f.ids)), np.arange(len(f.ids))))
+    apart = np.array([len(sets[f.ids[a]] ^ sets[f.ids[b]]) for a, b in zip(i, j, strict=True)])
+    assert (marks.differ(i, j) <= apart).all() and (marks.differ(i, j) == again.differ(i, j)).all() and (marks.differ(i, j) > 0).sum() > len(i) / 2
+
+
 PII = [
     ("Họ tên: Ninh Lạc Thư Vy", [("NAME", "Ninh Lạc Thư Vy")]),
     ("gọi (+84) 686 527 158 nhé", [("PHONE", "(+84) 686 527 158")]),
