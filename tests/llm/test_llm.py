@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,21 @@ def test_the_shipped_setting_reaches_its_recall(spark):
     assert got <= want and len(low) > 50 and len(got & low) >= 0.88 * len(low) and len(got) >= 0.96 * len(want)
 
 
+def test_signatures_are_made_in_a_small_buffer():
+    """The minima of all hashes of a text's runs, without an array of all runs and hashes of a batch."""
+    texts = [" ".join(WORDS[(i * j + j) % 400] for j in range(120)) for i in range(300)] + ["a b", "", "a b c", " ".join(WORDS)]
+    w = shingles.words(texts)
+    tracemalloc.start()
+    sig, ids = shingles.minhash(w, 3, 365)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    h, doc = w.windows(3)
+    assert ids.tolist() == [*range(300), 302, 303] and len(h) > 1 << 15 and peak < 10 << 20
+    for i, row in zip(ids, sig, strict=True):
+        v = ((h[doc == i] >> np.uint64(32)).astype(np.uint32)[:, None] ^ shingles._XOR[:365]) * shingles._PERM[:365]
+        assert (row == ((v ^ (v >> np.uint32(15))) * np.uint32(0x2C1B3C6D)).min(axis=0)).all()
+
+
 def test_hot_copies_and_block_pairs(spark, monkeypatch):
     from noteweave.llm import pairing
 
