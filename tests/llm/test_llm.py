@@ -190,6 +190,27 @@ def test_hot_segments_take_another_way_to_the_same_result(spark, monkeypatch):
     assert want and found() == want
 
 
+def test_rounds_give_the_same_pairs(spark, monkeypatch):
+    """Parts matched in rounds, whose shuffle files are freed one after the other, find what all at once find."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([12, 40, 200]))) for _ in range(40)]
+    rows = [(i, t if i % 3 else t + " " + WORDS[i % 7], "train" if i < 40 else "dev") for i, t in enumerate(texts + texts)]
+    df = spark.createDataFrame(rows, "n long, t string, split string").select("n", F.col("n").cast("string").alias("f"), "t", "split", F.lit("s").alias("source"))
+    freed = []
+    monkeypatch.setattr(overlap, "free_shuffles", freed.append)
+
+    def found():
+        return {(r.row_a, r.row_b) for r in overlap.split_overlaps(df, "t", "n", "f", "split", "source", "train", 3, 0.5).collect()}
+
+    want = found()
+    assert want and not freed
+    for together, direct, rounds in ((1, 1 << 11, 4), (2, 0, 2)):
+        monkeypatch.setattr(overlap, "TOGETHER", together)
+        monkeypatch.setattr(overlap, "DIRECT", direct)
+        freed.clear()
+        assert found() == want and len(freed) == rounds
+
+
 def test_seeds_do_not_depend_on_the_way(monkeypatch):
     rng = np.random.default_rng(1)
     n = 400
